@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder, so later reads and lost executors do not recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bitmap(df: DataFrame, place: str, bits: int) -> np.ndarray:
+    """``bits`` bits as int64 words, those set whose number is in the column: aggregated to words first, so its size is fixed."""
+    word, bit = (F.col(place) / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(place) % 64).cast("int")).alias("b")
+    rows = df.select(word, bit).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    if rows:
+        out[[r["w"] for r in rows]] = [r["b"] for r in rows]
+    return out
