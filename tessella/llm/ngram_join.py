@@ -335,3 +335,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     joined = of_docs.select("id", "n", "k").join(owned, "k", "left")
     component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("k").alias("class_id"), component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id, and one row of each repeated doc_id.
+
+    Rows with a null doc_id and with empty sets stay.
+    """
+    found = cut(join(docs, key, text).select(F.col(key).alias("_id"), "class_id", "component_id", "n_shingles"))
+    dropped = found.where("component_id < _id").select("_id").distinct()
+    kept = docs.join(dropped, docs[key] == dropped["_id"], "left_anti")
+    repeated = cut(found.where("_id is not null and n_shingles > 0").groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"))
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, kept[key] == repeated["_id"], "left_semi").dropDuplicates([key])
+    return kept.join(repeated, kept[key] == repeated["_id"], "left_anti").unionByName(once)
