@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are bags.
 
-A sentence's score is the logistic function of a bias and the weights of its distinct words; a document's score is the noisy-or of
+A sentence's score is the logistic function of a bias and the weights of its distinct words (a word's own and those of its beginnings); a document's score is the noisy-or of
 its sentences, ``1 - prod(1 - p)``. Weights are learned from document labels alone by gradient steps on the noisy-or likelihood, and
 afterwards the sentence scores tell where the offending sentences are.
 
@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER_BYTES, WORD_BYTES
+from .common import WORD_BYTES
 
-FIT_POSITIVE, FIT_NEGATIVE, FIT_CHARS = 2000, 4000, 20_000
+FIT_POSITIVE, FIT_NEGATIVE, FIT_CHARS = 1200, 2400, 10_000
+#: A word is a term if the log-likelihood ratio of its counts in toxic and other rows is at least this.
+LEAST_EVIDENCE = 18.0
 MAX_TERMS, LEAST_DOCS = 20_000, 3
 STEPS, RATE, RIDGE = 300, 0.15, 2e-4
 THRESHOLD = 0.3
 START_BIAS = -7.0
+KNOWN = 400_000
 
 #: Sentences end at these bytes.
 _ENDS = b".!?\n"
@@ -49,23 +52,42 @@ def sentences(text: bytes) -> list[bytes]:
     return [s for s in text.translate(_SENTENCE_BYTES).split(b"\n") if s and not s.isspace()]
 
 
+def terms_of(word: bytes) -> tuple[bytes, ...]:
+    """A word's terms: itself and its beginnings of 3 to 8 letters, marked by a star, which catch what is inflected."""
+    letters = word.decode("utf-8", "replace")
+    return (word, *(letters[:n].encode() + b"*" for n in range(3, min(8, len(letters)) + 1)))
+
+
 class Model:
+    """Bias and weights by term; ``weight`` keeps the sums of words it has met, up to ``KNOWN`` of them."""
+
     def __init__(self, bias: float = -40.0, weights: dict[bytes, float] | None = None):
         self.bias, self.weights = bias, weights or {}
         self.none = math.log1p(-_sigmoid(bias))
+        self.known: dict[bytes, float] = {}
+
+    def weight(self, word: bytes) -> float:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            get = self.weights.get
+            got = self.known[word] = sum(get(t, 0.0) for t in terms_of(word)) if len(word) <= 100 else 0.0
+        return got
 
     def score(self, text: bytes | None) -> tuple[float, list[dict]]:
         """The document's score, and the sentences that alone reach THRESHOLD with their byte spans."""
         if not text:
             return 0.0, []
         found = text.translate(_SENTENCE_BYTES)
-        if self.weights.keys().isdisjoint(found.split()):
+        weight = self.weight
+        told = {w: x for w in set(found.split()) if (x := weight(w))}
+        if not told:
             return round(-math.expm1(self.none * sum(1 for s in found.split(b"\n") if s and not s.isspace())), 6), []
-        total, at, k, offending, get = 0.0, 0, 0, [], self.weights.get
+        total, at, k, offending = 0.0, 0, 0, []
         for s in found.split(b"\n"):
             if s and not s.isspace():
-                extra = sum(get(w, 0.0) for w in set(s.split()))
-                p = _sigmoid(self.bias + extra)
+                p = _sigmoid(self.bias + sum(told[w] for w in told.keys() & s.split()))
                 total += math.log1p(-min(p, 1 - 1e-12))
                 if p >= THRESHOLD:
                     offending.append({"sentence": k, "start": at, "end": at + len(s), "score": round(p, 6)})
@@ -74,12 +96,22 @@ class Model:
         return round(-math.expm1(total), 6), offending
 
 
+def _evidence(a: float, n1: float, b: float, n0: float) -> float:
+    """Log-likelihood ratio of a word found in a of n1 toxic and b of n0 other rows."""
+    total = 0.0
+    for x, n in ((a, n1), (b, n0)):
+        for k, share in ((x, (a + b) / (n1 + n0)), (n - x, 1 - (a + b) / (n1 + n0))):
+            if k > 0:
+                total += 2 * k * math.log(k / (n * share))
+    return total
+
+
 def fit(rows: Iterator[tuple[bytes, int]], steps: int = STEPS) -> Model:
-    """Learn from (text, label). Words must be in LEAST_DOCS toxic rows and commoner in them; Adam on the noisy-or likelihood."""
+    """Learn from (text, label). Words must be in LEAST_DOCS toxic rows and clearly commoner in them; Adam on the noisy-or likelihood."""
     bags: list[list[set[bytes]]] = []
     labels: list[int] = []
     for text, y in rows:
-        bags.append([set(s.split()) for s in sentences(text)])
+        bags.append([{t for w in set(s.split()) if len(w) <= 100 for t in terms_of(w)} for s in sentences(text)])
         labels.append(y)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -88,8 +120,8 @@ def fit(rows: Iterator[tuple[bytes, int]], steps: int = STEPS) -> Model:
     seen = (Counter(), Counter())
     for bag, label in zip(bags, labels, strict=True):
         seen[label].update(set().union(*bag) if bag else ())
-    ratio = {w: (c / n1) / ((seen[0][w] + 0.5) / n0) for w, c in seen[1].items() if c >= LEAST_DOCS}
-    terms = sorted((w for w, r in ratio.items() if r > 2), key=lambda w: (-ratio[w], w))[:MAX_TERMS]
+    strength = {w: _evidence(c, n1, seen[0][w], n0) for w, c in seen[1].items() if c >= LEAST_DOCS and c * n0 > 2 * seen[0][w] * n1}
+    terms = sorted((w for w, g in strength.items() if g >= LEAST_EVIDENCE), key=lambda w: (-strength[w], w))[:MAX_TERMS]
     number = {w: i for i, w in enumerate(terms)}
     # Sentences without a term are alike: a bag has its count of them, and the others are instances of their own.
     plain, owner, cols, inst = np.zeros(len(bags)), [], [], []
