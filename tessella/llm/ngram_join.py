@@ -9,8 +9,8 @@
    their bitmaps' differing bits leave room for the overlap that 0.75 needs. The first round lets every class find one
    leader; after its links are joined to components, the second round takes up all pairs that lie in different components.
    A run that is one component already is skipped, so thousands of near copies cost one round of leaders.
-4. Candidates are verified by intersecting the full sets. Sets are computed again for the documents concerned only, which a bitmap of
-   their ids selects, so no text is shuffled.
+4. Candidates are verified by intersecting the full sets. Only the texts concerned, which a bitmap of their ids selects, are shuffled to
+   their pairs.
 5. Links give components. No pair, link or component is ever gathered on the driver.
 
 Heavy shingles and bitmaps decide only the cost: every pair at 0.75 shares a prefix shingle under any common order, and the
@@ -272,29 +272,37 @@ def _crossing(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFrame, salt: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach PERCENT, by exact intersection."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    wanted = nodes.join(reps.select("k", "id"), "k")
-    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-    table = bitmap(wanted.select(place.alias("p")), "p", ID_BITS)
-    shared = spark.sparkContext.broadcast(table)
+    """The pairs (a, b) whose sets reach PERCENT, by exact intersection of the sorted sets of both texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts travel, not sets, as they pack better; only those whose id's bit is set in a bitmap of the ids concerned.
+    """
+    named = pairs.join(reps.select(F.col("k").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("k").alias("b"), F.col("id").alias("ib")), "b")
+    named = cut(named.select("a", "b", "ia", "ib"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    table = bitmap(named.select(F.explode(F.array("ia", "ib")).alias("i")).distinct().select(place("i").alias("p")), "p", ID_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["p"])
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            chosen = np.flatnonzero((shared.value[at // 64] >> (at % 64)) & 1)
-            if len(chosen):
-                sets = list(shingle_sets(batch.column(1).take(pa.array(chosen)).cast(pa.binary()).to_pylist()))
-                offsets = np.cumsum([0] + [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s, salt)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["k", "s"])
+            ok = []
+            a, b = (batch.column(x).to_pylist() for x in ("a", "b"))
+            sets = [shingle_sets(batch.column(x).cast(pa.binary()).to_pylist()) for x in ("ta", "tb")]
+            for x, y, u, v in zip(a, b, *sets, strict=True):
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                # A doc_id that repeats with another text brings that text too; it is not this pair's.
+                ok.append((100 + PERCENT) * common >= PERCENT * (len(u) + len(v)) and _fingerprint(u, salt)[0] == x and _fingerprint(v, salt)[0] == y)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ids = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sets = ids.select(place.alias("p"), "t").mapInArrow(run, "k long, s array<long>").where(F.size("s") > 0)
-    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where((100 + PERCENT) * common >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+    texts = ids.select("id", "t", place("id").alias("p")).mapInArrow(chosen, "id long, t string")
+    left = named.join(texts.select(F.col("id").alias("ib"), F.col("t").alias("tb")), "ib")
+    both = left.join(texts.select(F.col("id").alias("ia"), F.col("t").alias("ta")), "ia")
+    return both.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,7 +320,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     members = found.select("run", "chunk", F.explode(F.concat("members", "lead")).alias("k")).join(tile, "k")
     starred = cut(members.groupBy("run", "chunk").applyInArrow(_leaders, "run long, a long, b long"))
-    first = cut(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # One leader a class; what its other leaders would add is taken up by the second round.
+    first = cut(starred.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(_verified(docs, key, text, first, reps, salt))
     labels = components(links)
 
