@@ -2,20 +2,21 @@
 
 The decision is made on the Burrows-Wheeler transform and common prefixes of a collection of reads, built column by column
 (``bcr``). Such a construction takes one round per symbol of the longest read and rewrites everything in each round, so whole
-documents cannot be its reads; three exact steps come before it:
+documents cannot be its reads. Three exact steps make short reads of them:
 
 * Every window of LENGTH bytes names one anchor, the least hash among its ``GRAM``-byte strings (the first, if tied). Equal windows
   name equal anchors, so only windows whose anchor occurs twice can repeat. The windows of one anchor, one after another, make a
-  read of less than ``2 * LENGTH`` bytes.
-* Equal reads of an anchor are settled at once: all their windows repeat. One of them stays for the comparison with
-  the anchor's other reads.
-* Different reads of an anchor go to the construction, in shards of about ``SHARD_BYTES`` that keep an anchor together. An
-  anchor with more than ``HOT`` different reads (a passage that very many documents share, with other text around it) is
-  cut finer instead: into reads of ``FINE`` windows that must agree on all bytes common to these windows, and what is then still as
-  crowded into single windows, which only equality decides. So no group grows with the corpus.
-
-Entries travel packed. The texts that a shard or a removal needs are chosen by a bitmap of content hashes, so texts without repeats
-are not shuffled. Documents are told apart by their content; equal texts share one result.
+  stretch; equal stretches of an anchor are settled at once: all their windows repeat.
+* The stretches of an anchor that has different ones are cut into groups of ``FINE`` windows, at fixed places from the anchor. All
+  windows of a group hold its core, the ``LENGTH - FINE + 1`` bytes common to them, so only groups with equal cores can share
+  a window. Equal groups are settled.
+* For different groups of one core, the core becomes one symbol, written in bytes that no UTF-8 text has. What is left are reads
+  of some tens of symbols, whose transform and common prefixes tell which windows repeat.
+
+A core with more than ``HOT`` different groups (a passage that very many documents share, with other text around it) is taken apart into
+single windows, which only equality decides, and equal entries of one batch are merged before they travel; so no group that
+one task gathers grows with the corpus. Entries travel packed. Texts from which something is removed are chosen by a bitmap of
+content hashes, so texts without repeats are not shuffled. Documents are told apart by their content; equal texts share one result.
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all bytes; matches never cross documents; repeated
 rows and null ids are judged by their texts like others; an empty table gives an empty result.
@@ -37,17 +38,23 @@ from .ngram_join import mix
 
 LENGTH = 400
 GRAM = 192
-FINE = 16
-HOT = 768
-SHARD_BYTES = 1 << 20
+FINE = 32
+HOT = 20_000
+#: Reads of one construction.
+READS = 30_000
 PART_ENTRIES = 250_000
 PIECE = 1 << 20
 BITS = 1 << 25
 
 _U = np.uint64
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-#: A read: anchor, its own hash, the content's hash (96 bits), where its windows begin and how many there are.
-ENTRY = np.dtype([("k", "<u8"), ("r", "<u8"), ("c1", "<i8"), ("c2", "<i4"), ("at", "<i4"), ("n", "<u2")])
+#: An entry: key, hash of all its bytes, the content's hash (96 bits), first window, number of windows, and 2 if it stands for more.
+ENTRY = np.dtype([("k", "<u8"), ("r", "<u8"), ("c1", "<i8"), ("c2", "<i4"), ("at", "<i4"), ("n", "<u2"), ("m", "u1")])
+
+
+def group_dtype(fine: int) -> np.dtype:
+    """An entry with the bytes before and after its core, and how many of them are before it."""
+    return np.dtype([*ENTRY.descr, ("before", "u1"), ("flanks", "u1", (2 * fine - 2,))])
 
 
 def content_hash(text: bytes) -> tuple[int, int]:
@@ -117,143 +124,158 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
             group, size = [], 0
 
 
-def _level_one(texts: list[bytes], length: int, gram: int) -> np.ndarray:
+def _stretches(texts: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Level 1: one entry per stretch, keyed by its anchor."""
     out = []
     contents = [content_hash(t) for t in texts]
     for doc, first, last, _, k in anchors(texts, length, gram):
         t, (c1, c2) = texts[doc], contents[doc]
         e = np.empty(len(k), ENTRY)
-        e["k"], e["at"], e["n"], e["c1"], e["c2"] = k, first, last - first + 1, c1, c2
+        e["k"], e["at"], e["n"], e["c1"], e["c2"], e["m"] = k, first, last - first + 1, c1, c2, 1
         e["r"] = [_hash64(t[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         out.append(e)
     return np.concatenate(out) if out else np.empty(0, ENTRY)
 
 
-def _finer(texts: list[bytes], length: int, gram: int, fine: int, hot: np.ndarray, hotter: np.ndarray | None) -> np.ndarray:
-    """Reads of ``fine`` windows of the hot anchors; or, with ``hotter``, the single windows of those that are crowded themselves."""
+def _groups(texts: list[bytes], length: int, gram: int, fine: int, wanted: np.ndarray, crowded: np.ndarray | None) -> np.ndarray:
+    """Level 2: one entry per group of ``fine`` windows of the wanted anchors, keyed by its core. With ``crowded`` level 3: one
+    entry per window of the crowded cores."""
+    kind = ENTRY if crowded is not None else group_dtype(fine)
     rows: list[tuple] = []
     contents = [content_hash(t) for t in texts]
+    pad = bytes(2 * fine - 2)
     for doc, first, last, place, k in anchors(texts, length, gram):
-        t, (c1, c2) = texts[doc], contents[doc]
         low = (k & _U(BITS - 1)).astype(np.int64)
-        for i in np.flatnonzero((hot[low // 64] >> (low % 64)) & 1):
-            p, a, z = int(place[i]), int(first[i]), int(last[i])
+        for i in np.flatnonzero((wanted[low // 64] >> (low % 64)) & 1):
+            t, (c1, c2) = texts[doc], contents[doc]
+            p, a, z, salt = int(place[i]), int(first[i]), int(last[i]), b"%d " % int(k[i])
             for g in range((p - z) // fine, (p - a) // fine + 1):
-                lo, hi = max(a, p - fine * g - fine + 1), min(z, p - fine * g)
-                core = _hash64(b"%d %d " % (int(k[i]), g) + t[p - fine * g : p - fine * g - fine + 1 + length])
-                if hotter is None:
-                    rows.append((core, _hash64(t[lo : hi + length]), c1, c2, lo, hi - lo + 1))
-                elif hotter[core % BITS // 64] >> (core % 64) & 1:
-                    for s in range(lo, hi + 1):
-                        own = _hash64(b"%d " % core + t[s : s + length])
-                        rows.append((own, own, c1, c2, s, 1))
-    return np.array(rows, ENTRY) if rows else np.empty(0, ENTRY)
+                core = p - fine * g
+                end = core + length - fine + 1
+                lo, hi = max(a, core - fine + 1), min(z, core)
+                key = _hash64(salt + b"%d " % g + t[core:end])
+                if crowded is None:
+                    around = t[lo:core] + t[end : hi + length]
+                    rows.append((key, _hash64(around + b"%d" % (core - lo)), c1, c2, lo, hi - lo + 1, 1, core - lo, np.frombuffer(around + pad[len(around) :], np.uint8)))
+                elif crowded[key % BITS // 64] >> (key % 64) & 1:
+                    for w in range(lo, hi + 1):
+                        own = _hash64(b"%d " % key + t[w : w + length])
+                        rows.append((own, own, c1, c2, w, 1, 1))
+    return np.array(rows, kind) if rows else np.empty(0, kind)
+
+
+def _runs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted entries: which read each is, each read's first entry, how many it stands for, and each read's key number."""
+    new_k = np.concatenate([[True], e["k"][1:] != e["k"][:-1]]) if len(e) else np.zeros(0, bool)
+    new_r = new_k | (np.concatenate([[True], e["r"][1:] != e["r"][:-1]]) if len(e) else new_k)
+    read, first = np.cumsum(new_r) - 1, np.flatnonzero(new_r)
+    return read, first, np.bincount(read, e["m"], minlength=len(first)), (np.cumsum(new_k) - 1)[first]
+
+
+#: Windows at..at+n-1 of a content.
+RUN = np.dtype([("c1", "<i8"), ("c2", "<i4"), ("at", "<i4"), ("n", "<u2")])
+
+
+def _as_runs(e: np.ndarray) -> np.ndarray:
+    out = np.empty(len(e), RUN)
+    for f in RUN.names:
+        out[f] = e[f]
+    return out
 
 
 def _packed(docs: DataFrame, text: str, parts: int, make) -> DataFrame:
-    """Entries of all texts in rows (part, entries)."""
+    """Entries of all texts in rows (part, entries). Equal ones of a batch are settled here: one of them goes on and stands
+    for two, and the windows of all go to parts of their own, which are numbered from ``parts`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t for t in batch.column(0).cast(pa.binary()).to_pylist() if t]
-            e = make(texts)
-            part = ((e["k"] >> _U(48)) % _U(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(e) else np.zeros(1, np.int64)
-            spans = list(zip(at[:-1], at[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), pa.array([e[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "entries"])
+            e = make([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t])
+            e = e[np.lexsort((e["r"], e["k"]))]
+            read, first, count, _ = _runs(e)
+            again = _as_runs(e[count[read] > 1])
+            e = e[first]
+            e["m"] = np.minimum(count, 2)
+            rows = []
+            for part, x in ((((e["k"] >> _U(48)) % _U(parts)).astype(np.int32), e), ((again["c1"] % parts).astype(np.int32) + parts, again)):
+                order = np.argsort(part, kind="stable")
+                x, part = x[order], part[order]
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+                rows += [(int(part[i]), x[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "entries"])
 
     return docs.select(F.col(text)).mapInArrow(run, "part int, entries binary")
 
 
-#: kind 0: windows at..at+n-1 of a content repeat; 1: a read for the construction (m: how many equal ones); 2: a crowded anchor.
-_FILED = "kind int, k long, c1 long, c2 int, at long, n long, m long"
+#: kind 0: windows at..at+n-1 of a content repeat; 1: an open key, to be looked at more finely.
+_FILED = "kind int, k long, c1 long, c2 int, at long, n long"
+
 
+def _filed(packed: DataFrame, parts: int, kind: np.dtype, decide) -> DataFrame:
+    """Settle equal entries of every part; ``decide(entries, read, first, count, key)`` says what of the rest repeats and what is open."""
 
-def _filed(packed: DataFrame, crowd: int | None) -> DataFrame:
     def file(key: tuple, table: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        e = e[np.lexsort((e["at"], e["c1"], e["r"], e["k"]))]
-        new_k = np.concatenate([[True], e["k"][1:] != e["k"][:-1]]) if len(e) else np.zeros(0, bool)
-        new_r = new_k | (np.concatenate([[True], e["r"][1:] != e["r"][:-1]]) if len(e) else new_k)
-        read = np.cumsum(new_r) - 1
-        first = np.flatnonzero(new_r)
-        count = np.bincount(read, minlength=len(first))
-        anchor = (np.cumsum(new_k) - 1)[first]
-        reads = np.bincount(anchor, minlength=int(new_k.sum()))
-        again = e[count[read] > 1]
-        again = np.unique(again[["c1", "c2", "at", "n"]])
-        many = reads[anchor]
-        crowded = many > crowd if crowd else np.zeros(len(first), bool)
-        held = first[(many > 1) & ~crowded]
-        hot = np.unique(e["k"][first[crowded]])
-        a, b, c = len(again), len(held), len(hot)
+        data = b"".join(table.column("entries").to_pylist())
+        if key[0].as_py() >= parts:
+            sure, open_ = np.frombuffer(data, RUN), np.zeros(0, np.uint64)
+        else:
+            e = np.frombuffer(data, kind)
+            e = e[np.lexsort((e["r"], e["k"]))]
+            runs = _runs(e)
+            more, open_ = decide(e, *runs)
+            sure = np.concatenate([_as_runs(e[runs[2][runs[0]] > 1]), more])
+        a, c = len(sure), len(open_)
         zero = np.zeros(c, np.int64)
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat([0, 1, 2], [a, b, c]).astype(np.int32)),
-                "k": pa.array(np.concatenate([np.zeros(a, np.int64), e["k"][held].view(np.int64), hot.view(np.int64)])),
-                "c1": pa.array(np.concatenate([again["c1"], e["c1"][held], zero])),
-                "c2": pa.array(np.concatenate([again["c2"], e["c2"][held], zero.astype(np.int32)]).astype(np.int32)),
-                "at": pa.array(np.concatenate([again["at"], e["at"][held], zero]).astype(np.int64)),
-                "n": pa.array(np.concatenate([again["n"], e["n"][held], zero]).astype(np.int64)),
-                "m": pa.array(np.concatenate([np.full(a, 2), count[read[held]], zero]).astype(np.int64)),
-            }
-        )
+        cols = {"kind": np.repeat([0, 1], [a, c]).astype(np.int32), "k": np.concatenate([np.zeros(a, np.int64), open_.view(np.int64)])}
+        cols |= {f: np.concatenate([sure[f], zero]).astype(np.int32 if f == "c2" else np.int64) for f in RUN.names}
+        return pa.table({f: pa.array(x) for f, x in cols.items()})
 
     return packed.groupBy("part").applyInArrow(file, _FILED)
 
 
-def _texts_of(docs: DataFrame, text: str, contents: DataFrame) -> DataFrame:
-    """c1, c2 and the bytes of the texts whose content hash is in ``contents``, each once (up to a few more, by the bitmap)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(contents.select(F.pmod("c1", F.lit(BITS)).alias("p")), "p", BITS))
+def _open_anchors(e, read, first, count, key):
+    """Anchors with different stretches."""
+    many = np.bincount(key, minlength=int(key.max(initial=-1)) + 1)[key] > 1
+    return np.empty(0, RUN), np.unique(e["k"][first[many]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for batch in batches:
-            out = []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                if t:
-                    c = content_hash(t)
-                    p = c[0] % BITS
-                    if bits[p // 64] >> (p % 64) & 1 and c not in seen:
-                        seen.add(c)
-                        out.append((*c, t))
-            if out:
-                c1, c2, t = (list(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.array(t, pa.binary())], names=["c1", "c2", "t"])
-
-    return docs.select(F.col(text)).mapInArrow(run, "c1 long, c2 int, t binary")
-
-
-def _constructed(docs: DataFrame, text: str, held: DataFrame, length: int) -> DataFrame:
-    """Windows (c1, c2, at, n) of the reads ``held`` that repeat, by the transform of each shard."""
-    total = held.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    texts = _texts_of(docs, text, held.select("c1").distinct())
-    wanted = held.groupBy("c1", "c2").agg(F.collect_list(F.struct("k", "at", "n", "m")).alias("reads"))
-    found = wanted.join(texts, ["c1", "c2"]).select("c1", "c2", "t", F.explode("reads").alias("r"))
-    reads = found.select(
-        F.pmod(F.xxhash64(F.col("r.k")), F.lit(shards)).alias("shard"), F.col("r.k").alias("k"), "c1", "c2", F.col("r.at").alias("at"), F.col("r.m").alias("m"),
-        F.substring("t", (F.col("r.at") + 1).cast("int"), (F.col("r.n") + (length - 1)).cast("int")).alias("read"),
-    )
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        # A text may have come from more than one task.
-        once = np.unique(np.rec.fromarrays([table.column(x).to_numpy() for x in ("k", "c1", "c2", "at")]), return_index=True)[1]
-        table = table.take(pa.array(once))
-        c1, c2, at, m = (table.column(x).to_numpy() for x in ("c1", "c2", "at", "m"))
-        out: list[tuple[int, int, int, int]] = []
-        for i, starts in enumerate(repeated_starts(table.column("read").to_pylist(), length)):
-            if m[i] == 1 and len(starts):
-                first = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
-                n = np.diff(np.append(first, len(starts)))
-                out += [(int(c1[i]), int(c2[i]), int(at[i] + starts[f]), int(x)) for f, x in zip(first, n, strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table({"c1": pa.array(cols[0], pa.int64()), "c2": pa.array(cols[1], pa.int32()), "at": pa.array(cols[2], pa.int64()), "n": pa.array(cols[3], pa.int64())})
-
-    return reads.groupBy("shard").applyInArrow(run, "c1 long, c2 int, at long, n long")
+
+def _none_open(e, read, first, count, key):
+    return np.empty(0, RUN), np.zeros(0, np.uint64)
+
+
+def _code(i: int) -> bytes:
+    """A number below 8**5 in five bytes that no UTF-8 text has."""
+    return bytes(0xF8 | (i >> s & 7) for s in (12, 9, 6, 3, 0))
+
+
+def _construction(fine: int, hot: int):
+    """Windows that repeat between different groups of one core, by the transform; cores with more than ``hot`` groups stay open."""
+
+    def decide(e, read, first, count, key):
+        size = np.bincount(key, minlength=int(key.max(initial=-1)) + 1)
+        many, crowd = (size[key] > 1) & (size[key] <= hot), size[key] > hot
+        pick = first[many]
+        out, cuts, at = [], [0], 0
+        numbers = key[many]
+        for i in range(1, len(pick) + 1):  # whole cores to a construction, up to READS reads and 8**5 cores
+            if i == len(pick) or (numbers[i] != numbers[i - 1] and i - at >= READS):
+                cuts.append(i)
+                at = i
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = e[pick[a:b]]
+            number = np.unique(numbers[a:b], return_inverse=True)[1]
+            reads = []
+            for x, n in zip(own, number, strict=True):
+                flanks, before = x["flanks"].tobytes(), int(x["before"])
+                reads.append(flanks[:before] + _code(int(n)) + flanks[before : int(x["n"]) - 1 + fine - 1])
+            for x, starts, c in zip(own, repeated_starts(reads, fine - 1 + 5), count[many][a:b], strict=True):
+                if c == 1 and len(starts):
+                    new = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
+                    got = np.empty(len(new), RUN)
+                    got["c1"], got["c2"], got["at"], got["n"] = x["c1"], x["c2"], x["at"] + starts[new], np.diff(np.append(new, len(starts)))
+                    out.append(got)
+        return np.concatenate(out) if out else np.empty(0, RUN), np.unique(e["k"][first[crowd]])
+
+    return decide
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, fine: int = FINE) -> DataFrame:
@@ -262,24 +284,16 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # One anchor in about (length - gram + 1) / 2 bytes.
     parts = max(16, -(-int(total) * 2 // ((length - gram + 1) * PART_ENTRIES)))
-    filed = cut(_filed(_packed(docs, text, parts, lambda t: _level_one(t, length, gram)), hot))
-    levels = [filed]
-    crowded = filed.where("kind = 2")
-    if crowded.limit(1).count():
-        place = lambda df: bitmap(df.select(F.pmod("k", F.lit(BITS)).alias("p")), "p", BITS)
-        first = spark.sparkContext.broadcast(place(crowded))
-        filed = cut(_filed(_packed(docs, text, parts, lambda t: _finer(t, length, gram, fine, first.value, None)), hot))
-        levels.append(filed)
-        crowded = filed.where("kind = 2")
-        if crowded.limit(1).count():
-            second = spark.sparkContext.broadcast(place(crowded))
-            levels.append(cut(_filed(_packed(docs, text, parts, lambda t: _finer(t, length, gram, fine, first.value, second.value)), None)))
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
-    sure = every.where("kind = 0").select("c1", "c2", "at", "n")
-    built = _constructed(docs, text, cut(every.where("kind = 1").dropDuplicates(["k", "c1", "c2", "at"])), length)
-    return sure.unionByName(built)
+    place = lambda df: bitmap(df.where("kind = 1").select(F.pmod("k", F.lit(BITS)).alias("p")).distinct(), "p", BITS)
+    every = level = cut(_filed(_packed(docs, text, parts, lambda t: _stretches(t, length, gram)), parts, ENTRY, _open_anchors))
+    if level.where("kind = 1").limit(1).count():
+        wanted = spark.sparkContext.broadcast(place(level))
+        level = cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, None)), parts, group_dtype(fine), _construction(fine, hot)))
+        every = every.unionByName(level)
+        if level.where("kind = 1").limit(1).count():
+            crowded = spark.sparkContext.broadcast(place(level))
+            every = every.unionByName(cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, crowded.value)), parts, ENTRY, _none_open)))
+    return every.where("kind = 0").select("c1", "c2", "at", "n")
 
 
 def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[int, int, str]:

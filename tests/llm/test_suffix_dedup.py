@@ -54,7 +54,7 @@ def test_matches_brute_force_at_every_level(spark, hot):
 def test_long_texts_are_cut_in_pieces_that_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     texts = [t or "" for t in corpus(9)]
-    filed = suffix_dedup._level_one([t.encode() for t in texts], 40, 16)
+    filed = suffix_dedup._stretches([t.encode() for t in texts], 40, 16)
     assert filed["n"].sum() == sum(max(0, len(t.encode()) - 39) for t in texts)
 
 
