@@ -1,6 +1,6 @@
 """Jaccard self-join of documents on word 5-grams, exact at 0.75, by size-banded tiles and hashed bitmap signatures.
 
-1. ``signatures``: one pass gives each document its set's size, fingerprint and a 1024-bit bitmap; equal sets become one class.
+1. ``signatures``: one pass gives each document its set's size, fingerprint and a bitmap of at least two bits a shingle; equal sets become one class.
    The same pass names heavy shingles, those that many documents of a batch share.
 2. ``runs``: a class is filed under the prefix of its set, which any partner must share. The order behind the prefix puts
    heavy shingles last, so passages that many documents share are looked up only where nothing rarer is left. Entries travel
@@ -35,7 +35,7 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-BITS = 1024
+LEAST_BITS = 512
 TILE = 1024
 LEADERS = 64
 #: A shingle counts as heavy if batches in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
@@ -118,9 +118,15 @@ def _fingerprint(s: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits of the bitmap of n shingles: a power of two from 2 n on, so that sets in one another's size band differ by one step at most."""
+    return max(LEAST_BITS, 1 << max(2 * n - 1, 1).bit_length())
+
+
 def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(s & _U(BITS - 1)).astype(np.int64)] = True
+    size = bitmap_bits(len(s))
+    bits = np.zeros(size, bool)
+    bits[(s & _U(size - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -223,31 +229,51 @@ def runs(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarr
     return packed.groupBy("part").applyInArrow(file, "run long, chunk int, chunks int, lead array<long>, members array<long>").dropDuplicates(["run", "chunk"])
 
 
-def _room(n: np.ndarray, bits: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
-    """Whether the sizes and bitmaps of i and each of js leave room for the overlap that PERCENT needs."""
-    own, others = bits[i], bits[js]
-    lost = np.bitwise_count(own & ~others).sum(1, dtype=np.int64)
-    more = np.bitwise_count(others & ~own).sum(1, dtype=np.int64)
-    most = np.minimum(n[i] - lost, n[js] - more)
-    return (100 + PERCENT) * most >= PERCENT * (n[i] + n[js])
-
-
-def _tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Members by size (ties by fingerprint), each once: k, n, bitmap words, and row numbers in the table."""
-    k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
-    order = np.lexsort((k, n))
-    order = order[np.concatenate([[True], k[order][1:] != k[order][:-1]])] if len(order) else order
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    return k[order], n[order], bits[order], order
+class _Tile:
+    """Members by size (ties by fingerprint), each once, with their bitmaps."""
+
+    def __init__(self, table: pa.Table):
+        k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
+        order = np.lexsort((k, n))
+        order = order[np.concatenate([[True], k[order][1:] != k[order][:-1]])] if len(order) else order
+        self.k, self.n, self.order = k[order], n[order], order
+        held = table.column("bits").to_pylist()
+        self.maps = [np.frombuffer(held[i], np.uint64) for i in order]
+        self.words = np.fromiter(map(len, self.maps), np.int64, len(self.maps))
+        self.grids: dict[int, np.ndarray] = {}
+
+    def _grid(self, words: int) -> np.ndarray:
+        """All bitmaps of ``words`` words, and those of twice as many folded to it; other rows are not used."""
+        if words not in self.grids:
+            grid = np.zeros((len(self.maps), words), np.uint64)
+            for i in np.flatnonzero(self.words == words):
+                grid[i] = self.maps[i]
+            for i in np.flatnonzero(self.words == 2 * words):
+                grid[i] = self.maps[i][:words] | self.maps[i][words:]
+            self.grids[words] = grid
+        return self.grids[words]
+
+    def room(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Whether the sizes and bitmaps of i and each of js (none smaller) leave room for the overlap that PERCENT needs."""
+        n, m = self.n[i], self.n[js]
+        ok = PERCENT * m <= 100 * n
+        js, m = js[ok], m[ok]
+        grid = self._grid(int(self.words[i]))
+        own, others = grid[i], grid[js]
+        lost = np.bitwise_count(own & ~others).sum(1, dtype=np.int64)
+        more = np.bitwise_count(others & ~own).sum(1, dtype=np.int64)
+        ok[ok] = (100 + PERCENT) * np.minimum(n - lost, m - more) >= PERCENT * (n + m)
+        return ok
 
 
 def _leaders(key: tuple, table: pa.Table) -> pa.Table:
     """Each class with the first class that it may link to; those that find none are leaders."""
-    k, n, bits, _ = _tile(table)
+    tile = _Tile(table)
+    k = tile.k
     left, a, b = np.arange(len(k)), [], []
     while len(left) > 1:
         i, left = left[0], left[1:]
-        ok = _room(n, bits, i, left)
+        ok = tile.room(i, left)
         a += [int(k[i])] * int(ok.sum())
         b += k[left[ok]].tolist()
         left = left[~ok]
@@ -256,7 +282,8 @@ def _leaders(key: tuple, table: pa.Table) -> pa.Table:
 
 def _crossing(key: tuple, table: pa.Table) -> pa.Table:
     """All pairs of a tile that may link and lie in different components (and, between two chunks, in different chunks)."""
-    k, n, bits, order = _tile(table)
+    tile = _Tile(table)
+    k, order = tile.k, tile.order
     label, chunk = table.column("label").to_numpy()[order], table.column("chunk").to_numpy()[order]
     two = key[1].as_py() != key[2].as_py()
     a, b = [], []
@@ -265,7 +292,7 @@ def _crossing(key: tuple, table: pa.Table) -> pa.Table:
         if two:
             js = js[chunk[js] != chunk[i]]
         if len(js):
-            js = js[_room(n, bits, i, js)]
+            js = js[tile.room(i, js)]
             a += [int(k[i])] * len(js)
             b += k[js].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
