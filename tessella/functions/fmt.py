@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def format_bytes(n: Column) -> Column:
-    """Two decimals and B, KB, MB or GB, by 1024."""
+    """Two decimals (exact halves to even) and B, KB, MB or GB, by 1024."""
     kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
     x = n.cast("double")
     return (
-        F.when(x < kb, F.format_string("%.2f B", x)).when(x < mb, F.format_string("%.2f KB", x / kb)).when(x < gb, F.format_string("%.2f MB", x / mb)).otherwise(F.format_string("%.2f GB", x / gb))
+        F.when(x < kb, F.format_string("%.2f B", x)).when(x < mb, F.format_string("%.2f KB", F.bround(x / kb, 2))).when(x < gb, F.format_string("%.2f MB", F.bround(x / mb, 2))).otherwise(F.format_string("%.2f GB", F.bround(x / gb, 2)))
     )
 
 
