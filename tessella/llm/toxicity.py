@@ -157,8 +157,9 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """At most FIT_POSITIVE + FIT_NEGATIVE rows (text, y); their ids are chosen in ``labels`` and fit a broadcast by that bound."""
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.col(label)).cast("int").alias("y"))
     order = Window.partitionBy("y").orderBy(F.xxhash64("_k"), "_k")
-    ids = one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y") == 1, FIT_POSITIVE).otherwise(FIT_NEGATIVE)).where("y in (0, 1)")
-    ids = ids.where(F.col("r") <= max(FIT_POSITIVE, FIT_NEGATIVE)).select("_k", "y")
+    # The literal limit is applied before the shuffle too, so few rows of a label meet in a task.
+    ids = one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(FIT_POSITIVE, FIT_NEGATIVE))
+    ids = ids.where("y in (0, 1)").where(F.col("r") <= F.when(F.col("y") == 1, FIT_POSITIVE).otherwise(FIT_NEGATIVE)).select("_k", "y")
     usable = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= FIT_CHARS))
     return usable.join(F.broadcast(ids), F.col("_d") == F.col("_k")).select("_d", "t", "y")
 
