@@ -1,0 +1,198 @@
+"""Toxicity, decontamination, language id, pseudonyms and mixing: brute force, round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, language_id, mixing, pii, toxicity
+from tessella.llm.common import held_out
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SF = "/root/testdata/sf0.01"
+
+
+# Decontamination
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def brute_hits(docs, items):
+    windows = defaultdict(set)
+    for name, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[i : i + 10])].add("" if name is None else str(name))
+    out = []
+    for d, text in docs:
+        w, hit, found = words(text), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((d, len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("block, shard", [(1 << 20, 1_000_000), (200, 40)])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
+    r = random.Random(block)
+    text = lambda n: " ".join(r.choice("abcde") + r.choice(["", "", "é", "."]) for _ in range(n))
+    items = [(i, text(r.randint(1, 30))) for i in range(25)] + [(3, "q w"), (None, "solo"), (50, None), (51, ""), (52, "a " * 14)]
+    docs = [(i, text(r.randint(0, 60)) + " " + (r.choice(items)[1] or "").upper() + " " + text(5)) for i in range(60)] + [(None, None), (7, ""), (8, "solo Solo"), (8, "solo Solo"), (9, "a " * 40)]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(frame, bench, block_bytes=block).select("doc_id", "n_words", "hit_spans", "items").collect()
+    rows = sorted((g["doc_id"] or -1, g["n_words"], sum(g["hit_spans"][1::2]) - sum(g["hit_spans"][::2]), g["items"]) for g in got)
+    assert rows == sorted((d or -1, n, h, i) for d, n, h, i in brute_hits(docs, items))
+    clean = decontaminate.scan(frame, bench, clean_only=True, block_bytes=block)
+    assert clean.columns == frame.columns and clean.count() == sum(1 for x in rows if not x[2])
+
+
+def test_longest_matches_and_empty_tables(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "start " + " ".join(f"w{i}" for i in range(5, 30)) + " end")], "doc_id long, text string")
+    m = decontaminate.scan(docs, bench).first()["matches"]
+    assert [(x["item_id"], x["item_word"], x["doc_word"], x["n_words"]) for x in m] == [("1", 5, 1, 25)]
+    assert decontaminate.scan(docs, bench.limit(0)).first()["hit_spans"] == []
+    assert decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+# Language
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = language_id.sample(docs.where(~held_out(F.col("doc_id"))))
+    got = language_id.identify(docs, sample).where(held_out(F.col("doc_id"))).select("lang", "lang_pred", "score").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "abc abd abe", "a"), (2, "xyz xyy xzz", "b"), (3, None, "a"), (4, "12 !?", None), (5, "", None), (6, "abc" * 2000, None), (7, "xyz", None), (7, "xyz", None), (8, "\u4e2d\u6587", "c")], "doc_id long, text string, lang string")
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, language_id.sample(docs.where("doc_id < 4"))).collect())
+    assert got == Counter({(1, "a"): 1, (2, "b"): 1, (3, "und"): 1, (4, "und"): 1, (5, "und"): 1, (6, "a"): 1, (7, "b"): 2, (8, "a"): 1})
+    assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
+
+
+def test_automaton_accepts_exactly_the_substrings():
+    seq = [1, 2, 1, 1, 2, 3]
+    table = language_id.automaton(seq, 5).reshape(-1, 5)
+    subs = {tuple(seq[i:j]) for i in range(len(seq)) for j in range(i, len(seq) + 1)}
+    for n in range(5):
+        for code in range(4**n):
+            word = tuple(code // 4**k % 4 + 1 for k in range(n))
+            s = 1
+            for c in word:
+                s = table[s, c] if s else 0
+            assert (s != 0) == (word in subs)
+
+
+# Toxicity
+
+
+def test_toxicity_learns_from_document_labels_and_finds_sentences():
+    r = random.Random(1)
+    clean = lambda: " ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(8)) + "."
+    rows = []
+    for i in range(400):
+        s = [clean() for _ in range(r.randint(1, 12))]
+        y = int(i % 5 == 0)
+        if y:
+            s.insert(r.randint(0, len(s)), "You are vile" + r.choice(["st", "ly", ""]) + " indeed!")
+        rows.append((" ".join(s).encode(), y))
+    model = toxicity.fit(iter(rows[:300]))
+    assert all((model.score(t)[0] >= toxicity.THRESHOLD) == bool(y) for t, y in rows[300:])
+    score, spans = model.score(b"Fine words here. You are VILEST indeed!\nAll good.")
+    assert score > 0.3 and [b"Fine words here. You are VILEST indeed!\nAll good."[x["start"] : x["end"]].strip() for x in spans] == [b"You are VILEST indeed"]
+    assert model.score(None) == model.score(b"") == (0.0, []) and toxicity.fit(iter([])).score(b"x")[0] == 0.0
+
+
+def test_toxicity_on_tables(spark):
+    docs = spark.createDataFrame([(i, f"good {i}. nice" if i % 2 else f"awful {i}! so awful", "s") for i in range(200)] + [(None, None, "s"), (7, "good", "s")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(150)] + [(3, 1, None), (None, 1, 1), (4, 1, 1), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 202 and all((r["score"] >= 0.3) == (r["doc_id"] is not None and r["doc_id"] % 2 == 0) for r in got)
+    kept = toxicity.score(docs, model, keep_below=0.3)
+    assert kept.columns == docs.columns and kept.count() == 102
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels.limit(0))).count() == 0
+
+
+# Pseudonyms
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 4097])
+def test_feistel_permutes(size):
+    image = [pii.feistel(x, size, b"t") for x in range(size)]
+    assert sorted(image) == list(range(size)) and [pii.feistel(y, size, b"t", undo=True) for y in image] == list(range(size))
+
+
+def test_pseudonyms_keep_format_links_and_can_be_undone():
+    there, back = pii.Pseudonyms(), pii.Pseudonyms(undo=True)
+    values = {
+        "card": ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004"], "phone": ["(017) 555-7713", "+1 (017) 555-7713", "+49 30 1234567"], "ip": ["8.8.8.8", "192.168.10.255"],
+        "ssn": ["123-45-6789"], "date": ["2024-02-29", "31.12.1999", "12/25/2001", "1/2/2003"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "email": ["Ann.42@mail7.example.com"], "secret": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"],
+    }
+    for kind, own in values.items():
+        for v in own:
+            new = there.of(kind, v)
+            assert new != v and len(new) == len(v) and re.sub("[0-9A-Za-z]", "", new) == re.sub("[0-9A-Za-z]", "", v), (v, new)
+            assert getattr(back, kind)(new) == v and there.of(kind, new) is not None
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    a, b, _ = (there.of("card", v) for v in values["card"])
+    assert digits(a) == digits(b) and pii.luhn_digit(b[:-1]) == int(b[-1])
+    for kind, v in [("card", "4111111111111112"), ("ip", "300.1.1.1"), ("ssn", "000-12-3456"), ("date", "2023-02-29"), ("iban", "DE00370400440532013000"), ("secret", "1" * 30)]:
+        assert there.of(kind, v) is None
+
+
+def test_pseudonymised_tables(spark):
+    texts = [None, "", "no data", "mail und.34@mail7.example.com now", "call (017) 555-7713. Or (017) 555-7713!", "x" * 50_000 + " 10.0.0.1 é", "4111111111111112 stays, v1.2.3 and 4.0 too"]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(3, texts[3], 5)], "doc_id long, text string, n_ip int")
+    got = pii.pseudonymise(docs).orderBy("doc_id").collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 8 and by[0]["text"] is None and by[1]["text"] == "" and by[2]["text"] == "no data" and by[6]["text"] == texts[6]
+    assert by[3]["n_email"] == 1 and "und.34@" not in by[3]["text"] and by[4]["n_phone"] == 2 and "555-7713" not in by[4]["text"] and by[5]["n_ip"] == 1
+    assert got[3]["text"] == got[4]["text"]
+    plain = pii.pseudonymise(docs, counts=False)
+    assert plain.columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+# Mixing
+
+
+def test_schedule_deviates_by_less_than_a_block():
+    for weights in ([5, 3, 1, 1], [1, 1], [97, 2, 1], [0.31, 0.29, 0.4]):
+        q = mixing.rounded(weights, 1000)
+        slots = mixing.period(q)
+        owner = {t: i for i, own in enumerate(slots) for t in own}
+        done = [0] * len(q)
+        for t in range(sum(q)):
+            done[owner[t]] += 1
+            assert all(abs(done[i] - q[i] * (t + 1) / sum(q)) < 1 for i in range(len(q)))
+        for i, own in enumerate(slots):
+            assert all(k * sum(q) // q[i] <= t < -(-(k + 1) * sum(q) // q[i]) for k, t in enumerate(own))
+
+
+@pytest.mark.parametrize("most", [255, 2])
+def test_mixed_table_is_whole_and_in_proportion(spark, most):
+    rows = [(i, "big" if i % 3 else "small") for i in range(3000)] + [(i, None) for i in range(100)] + [(None, "small")] * 5 + [(7, "one")]
+    docs = spark.createDataFrame([(d, s, "t", 1) for d, s in rows], "doc_id long, source string, text string, slot int")
+    got = mixing.mix(docs, {"big": 0.5, "small": 0.4, None: 0.1}, max_sources=most).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
+    slots = sorted({r["slot"] for r in got})
+    assert slots == list(range(len(slots)))
+    if most > 2:
+        first = {r["slot"]: r["source"] for r in got}
+        for t in range(40):
+            n = Counter(first[x] for x in range(t + 1))
+            assert abs(n["big"] - 0.5 * (t + 1)) < 1.1 and abs(n["small"] - 0.4 * (t + 1)) < 1.1
+    assert mixing.mix(docs.limit(0)).count() == 0
