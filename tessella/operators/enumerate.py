@@ -4,8 +4,9 @@ A face of n vertices has open interval (0, n-1). A step takes the first open int
 (i, k) and (k, j) where they are wider than an edge; each opened interval is a new chord. After n - 2 steps every triangulation of
 the n-gon has been made exactly once, so nothing is deduplicated, and the steps are narrow: no shuffle, one chain of generators.
 
-Constraints are applied to the step's new chords, so whole subtrees of an invalid choice are never made: a chord
-that joins equal labels, is an edge of the graph, or (in a closed walk) is already a chord of the face.
+Constraints are applied to the step's new chords, so whole subtrees of an invalid choice are never made: a chord that joins equal
+labels, is an edge of the graph (both looked up in one table per face), or (in a closed walk) is already a chord of the face.
+Intervals are whole numbers, i * 64 + j, and a step is two projections, which keeps rows and plans small.
 """
 
 from __future__ import annotations
@@ -18,9 +19,7 @@ from tessella.functions import edges as E
 #: Largest face that is made in rows; larger ones have more than 9 million triangulations.
 MAX_FACE = 17
 #: Rows are spread over the cluster after this step when faces are at least this large: one face starts as one row.
-SPREAD_STEP, SPREAD_SIZE = 4, 11
-
-_INTERVALS = "array<struct<i:int,j:int>>"
+SPREAD_STEP, SPREAD_SIZE = 4, 12
 
 
 def explode_faces(graphs: DataFrame) -> DataFrame:
@@ -28,58 +27,70 @@ def explode_faces(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.size("faces").alias("n_faces"), F.posexplode("faces").alias("face_id", "face")).withColumn("n", F.size("face"))
 
 
-def with_boundary(graphs: DataFrame) -> DataFrame:
-    return graphs.withColumn("present", E.boundary(F.col("faces")))
+def faces_with_boundary(graphs: DataFrame) -> DataFrame:
+    """Faces with the edges of their graph."""
+    return graphs.withColumn("present", E.boundary(F.col("faces"))).select("graph_id", "present", F.size("faces").alias("n_faces"), F.posexplode("faces").alias("face_id", "face")).withColumn("n", F.size("face"))
 
 
-def faces_with_boundary(graphs: DataFrame) -> DataFrame:
-    """Faces with the edges of their graph that join two vertices of the face without being neighbours in it, or are all that prune."""
-    return with_boundary(graphs).select("graph_id", "present", F.size("faces").alias("n_faces"), F.posexplode("faces").alias("face_id", "face")).withColumn("n", F.size("face"))
+def repeats(face: Column) -> Column:
+    """A closed walk that comes to a vertex twice."""
+    return F.size(F.array_distinct(face)) < F.size(face)
 
 
-def largest_face(faces: DataFrame) -> int:
-    return faces.agg(F.max("n")).first()[0] or 0
+def bounds(faces: DataFrame) -> tuple[int, bool]:
+    """The largest face and whether any is a closed walk that repeats a vertex."""
+    n, walk = faces.agg(F.max("n"), F.max(repeats(F.col("face")))).first()
+    return n or 0, bool(walk)
 
 
-def triangulate_faces(faces: DataFrame, largest: int | None = None, constrained: bool = True) -> DataFrame:
+def triangulate_faces(faces: DataFrame, largest: int | None = None, constrained: bool = True, walks: bool | None = None) -> DataFrame:
     """All triangulations of the faces: input columns without ``present``, chords (by vertices, in order) and index_chords.
 
-    ``largest``: an upper bound of n, if known; else it is looked up. Unconstrained, validity is not asked for.
+    ``largest``: an upper bound of n, and ``walks``: whether vertices may repeat in a face, if known; else they are looked up.
+    Unconstrained, validity is not asked for.
     """
-    size = largest_face(faces) if largest is None else largest
-    if size > MAX_FACE:
-        raise ValueError(f"a face of {size} vertices has too many triangulations for rows; use counting instead")
+    if largest is None or (constrained and walks is None):
+        found = bounds(faces)
+        largest = found[0] if largest is None else largest
+        walks = found[1] if walks is None else walks
+    if largest > MAX_FACE:
+        raise ValueError(f"a face of {largest} vertices has too many triangulations for rows; use counting instead")
+    walks = bool(walks) and constrained
     keep = [c for c in faces.columns if c != "present"]
-    start = F.when(F.col("n") >= 3, F.array(F.struct(F.lit(0).alias("i"), (F.col("n") - 1).cast("int").alias("j")))).otherwise(F.array().cast(_INTERVALS))
-    state = faces.withColumns({"_open": start.cast(_INTERVALS), "_made": F.array().cast(_INTERVALS), "chords": E.no_edges()})
-    for level in range(max(0, size - 2)):
-        state = _step(state, constrained)
-        if level + 1 == SPREAD_STEP and size >= SPREAD_SIZE:
+    n = F.col("n")
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    label = lambda i, j: E.edge(F.get("face", i), F.get("face", j))
+    free = lambda i, j: (F.get("face", i) != F.get("face", j)) & ~F.array_contains("present", label(i, j))
+    ok = F.flatten(F.transform(every, lambda i: F.transform(every, lambda j: free(i, j)))) if constrained else F.lit(None).cast("array<boolean>")
+    first = F.transform("face", lambda v: (F.array_position("face", v) - 1).cast("int")) if walks else F.lit(None).cast("array<int>")
+    state = faces.select(*keep, ok.alias("_ok"), first.alias("_first"), F.expr("IF(n >= 3, array(n - 1), CAST(array() AS array<int>)) AS _open"), F.expr("CAST(array() AS array<int>) AS _made"), F.expr("CAST(array() AS array<int>) AS _used"))
+    for level in range(max(0, largest - 2)):
+        state = _step(state, keep, constrained, walks)
+        if level + 1 == SPREAD_STEP and largest >= SPREAD_SIZE:
             state = state.repartition(F.col("graph_id"), F.col("face_id"), F.xxhash64("_made"))
-    return state.select(*keep, F.array_sort("chords").alias("chords"), F.array_sort("_made").alias("index_chords"))
-
-
-def _step(state: DataFrame, constrained: bool) -> DataFrame:
-    top = F.get(F.col("_open"), F.lit(0))
-    i, j = F.col("_i"), F.col("_j")
-    done = F.size("_open") == 0
-    state = state.withColumns({"_i": top["i"], "_j": top["j"]})
-    state = state.withColumn("_k", F.explode(F.when(done, F.array(F.lit(-1))).otherwise(F.sequence(F.col("_i") + 1, F.col("_j") - 1))))
-    k = F.col("_k")
-    inner = lambda a, b: F.struct(a.cast("int").alias("i"), b.cast("int").alias("j"))
-    opened = F.filter(F.array(inner(i, k), inner(k, j)), lambda x: x["j"] - x["i"] >= 2)
-    opened = F.when(k < 0, F.array().cast(_INTERVALS)).otherwise(opened)
-    state = state.withColumn("_new", opened)
-    state = state.withColumn("_labels", E.labelled(F.col("face"), F.col("_new")))
-    if constrained:
-        labels = F.col("_labels")
-        ok = E.no_self_loop(labels) & ~F.arrays_overlap(labels, F.col("present")) & ~F.arrays_overlap(labels, F.col("chords")) & E.all_distinct(labels)
-        state = state.where((F.size("_new") == 0) | ok)
-    rest = F.when(done, F.col("_open")).otherwise(F.slice("_open", 2, F.greatest(F.size("_open"), F.lit(1))))
-    return state.withColumns({"_open": F.concat("_new", rest), "_made": F.concat("_made", "_new"), "chords": F.concat("chords", "_labels")}).drop("_i", "_j", "_k", "_new", "_labels")
+    chords = F.array_sort(F.transform("_made", lambda c: label(F.shiftright(c, 6), c.bitwiseAND(63))))
+    index = F.transform(F.array_sort("_made"), lambda c: F.struct(F.shiftright(c, 6).alias("i"), c.bitwiseAND(63).cast("int").alias("j")))
+    return state.select(*keep, chords.alias("chords"), index.alias("index_chords"))
+
+
+def _step(state: DataFrame, keep: list[str], constrained: bool, walks: bool) -> DataFrame:
+    kept = [f"`{c}`" for c in keep]
+    hold = [*kept, "_ok", "_first", "_made", "_used"]
+    split = state.selectExpr(*hold, "_open", "CAST(IF(size(_open) = 0, 0, shiftright(_open[0], 6)) AS int) AS _i", "CAST(IF(size(_open) = 0, 0, _open[0] & 63) AS int) AS _j")
+    grown = split.selectExpr(*hold, "_i", "_j", "IF(size(_open) = 0, _open, slice(_open, 2, size(_open))) AS _rest", "explode(IF(size(_open) = 0, array(-1), sequence(_i + 1, _j - 1))) AS _k")
+    test = "(_k < 0 OR ((_k - _i < 2 OR _ok[_i * n + _k]) AND (_j - _k < 2 OR _ok[_k * n + _j])))" if constrained else "true"
+    new = "concat(IF(_k >= 0 AND _k - _i >= 2, array(_i * 64 + _k), CAST(array() AS array<int>)), IF(_k >= 0 AND _j - _k >= 2, array(_k * 64 + _j), CAST(array() AS array<int>)))"
+    out = grown.where(test).selectExpr(*hold, f"{new} AS _new", "_rest")
+    used = "_used"
+    if walks:
+        marks = "transform(_new, c -> least(_first[shiftright(c, 6)], _first[c & 63]) * 64 + greatest(_first[shiftright(c, 6)], _first[c & 63]))"
+        out = out.selectExpr(*hold, "_rest", "_new", f"{marks} AS _marks").where("NOT arrays_overlap(_marks, _used) AND size(array_distinct(_marks)) = size(_marks)")
+        used = "concat(_used, _marks) AS _used"
+    return out.selectExpr(*kept, "_ok", "_first", "concat(_new, _rest) AS _open", "concat(_made, _new) AS _made", used)
 
 
 def catalan(n: Column) -> Column:
     """Triangulations of an n-gon as BIGINT, by the product formula; 1 for n <= 3."""
     m = F.greatest(n - 2, F.lit(1))
-    return F.aggregate(F.sequence(F.lit(1), m - 1), F.lit(1).cast("long"), lambda acc, k: F.floor(acc * (2 * (2 * k + 1)) / (k + 2)).cast("long"))
+    steps = F.when(m > 1, F.sequence(F.lit(1), m - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.lit(1).cast("long"), lambda acc, k: F.floor(acc * (2 * (2 * k + 1)) / (k + 2)).cast("long"))
