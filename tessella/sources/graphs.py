@@ -33,10 +33,7 @@ def parse_faces(text: Column) -> Column:
 
 def read_graphs(spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
     """graph_id (file name), path and faces of every file; recursive reads subfolders, glob filters by name."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("graph_id"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("graph_id"), "value")
     return files.select("graph_id", "path", parse_faces(F.col("value")).alias("faces"))
 
 

@@ -59,4 +59,5 @@ def chart_series(results: DataFrame) -> DataFrame:
     """The one row that a report page needs: labels (quotes plain) and numbers in file order. Result tables have a row per input file."""
     row = F.struct("filename", fmt.plain_quotes(F.col("filename")).alias("label"), "meanTime", "medianTime", "minTime", "perTriangNs")
     rows = F.array_sort(F.collect_list(row))
-    return results.agg(*[F.transform(rows, lambda r, c=c: r[c]).alias(c) for c in ("label", "meanTime", "medianTime", "minTime", "perTriangNs")])
+    column = lambda c: F.transform(rows, lambda r: r[c]).alias(c)
+    return results.agg(*[column(c) for c in ("label", "meanTime", "medianTime", "minTime", "perTriangNs")])
