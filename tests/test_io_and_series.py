@@ -120,3 +120,13 @@ def test_formats(spark):
         fmt.wall_clock(F.lit(0), F.lit(1_234_567_890)).alias("clock"), fmt.fixed(F.lit(2.5), 0).alias("f0"), fmt.fixed(F.lit(1.5), 4).alias("f4"), fmt.ratio(F.lit(1), F.lit(0)).alias("zero"), fmt.status(F.lit(False)).alias("status"),
     ).first()
     assert (row["stem"], row["plain"], row["kb"], int(row["n"]), row["clock"], row["f0"], row["f4"], row["zero"], row["status"]) == ("a.b", "red", "1.12 KB", 12345, "00:00:01.234567", "2", "1.5000", 0.0, "MISMATCHED")
+
+
+def test_harness_rows_feed_the_statistics(spark):
+    from tessella.plans import harness
+
+    calls = []
+    rows = harness.run_table(spark, {"a": (lambda: calls.append(1) or 7, 4, 3), "b": (lambda: 1, 2, 1)})
+    assert len(calls) == 4 and rows.count() == 4
+    got = benchstats.results(rows).orderBy("filename").first()
+    assert (got["filename"], got["vertices"], int(got["triangulations"])) == ("a", 4, 7) and got["minTime"] <= got["medianTime"] <= got["maxTime"]
