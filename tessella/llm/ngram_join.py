@@ -6,9 +6,10 @@
    heavy shingles last, so passages that many documents share are looked up only where nothing rarer is left. Entries travel
    packed; a run is the set of classes filed under one shingle, and equal runs are kept once.
 3. Tiles of at most ``TILE`` classes of a run, ordered by size: two classes are a candidate if their sizes are within the ratio and
-   their bitmaps' differing bits leave room for the overlap that 0.75 needs. The first round lets every class find one
-   leader; after its links are joined to components, the second round takes up all pairs that lie in different components.
-   A run that is one component already is skipped, so thousands of near copies cost one round of leaders.
+   their bitmaps' differing bits leave room for the overlap that 0.75 needs. In each of ROUNDS rounds a class proposes the
+   class of another component that it may be most like, and verified proposals join components, so thousands of near copies meet in
+   a few rounds of one pair each. What then still lies in different components is taken up pair by pair.
+   A run that is one component already is skipped.
 4. Candidates are verified by intersecting the full sets. Only the texts concerned, which a bitmap of their ids selects, are shuffled to
    their pairs.
 5. Links give components. No pair, link or component is ever gathered on the driver.
@@ -38,6 +39,8 @@ PERCENT = 75
 LEAST_BITS = 512
 TILE = 1024
 LEADERS = 64
+#: Rounds in which every class proposes one partner, before all remaining pairs are taken up.
+ROUNDS = 4
 #: A shingle counts as heavy if batches in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
 LOCAL, HEAVY, HEAVY_MOST = 8, 48, 1 << 18
 #: Prefix entries of one packed part.
@@ -253,46 +256,68 @@ class _Tile:
             self.grids[words] = grid
         return self.grids[words]
 
-    def room(self, i: int, js: np.ndarray) -> np.ndarray:
-        """Whether the sizes and bitmaps of i and each of js (none smaller) leave room for the overlap that PERCENT needs."""
+    def likeness(self, i: int, js: np.ndarray) -> np.ndarray:
+        """The greatest similarity that sizes and bitmaps of i and each of js (none smaller) leave possible; 0 if it is below PERCENT."""
         n, m = self.n[i], self.n[js]
+        out = np.zeros(len(js))
         ok = PERCENT * m <= 100 * n
         js, m = js[ok], m[ok]
         grid = self._grid(int(self.words[i]))
         own, others = grid[i], grid[js]
         lost = np.bitwise_count(own & ~others).sum(1, dtype=np.int64)
         more = np.bitwise_count(others & ~own).sum(1, dtype=np.int64)
-        ok[ok] = (100 + PERCENT) * np.minimum(n - lost, m - more) >= PERCENT * (n + m)
-        return ok
+        most = np.minimum(n - lost, m - more)
+        out[ok] = np.where((100 + PERCENT) * most >= PERCENT * (n + m), most / (n + m - most), 0.0)
+        return out
 
 
-def _leaders(key: tuple, table: pa.Table) -> pa.Table:
-    """Each class with the first class that it may link to; those that find none are leaders."""
+def _nearest(key: tuple, table: pa.Table) -> pa.Table:
+    """For each class of a tile the class of another component that it may be most like, if any; earlier choices are left out."""
     tile = _Tile(table)
-    k = tile.k
-    left, a, b = np.arange(len(k)), [], []
-    while len(left) > 1:
-        i, left = left[0], left[1:]
-        ok = tile.room(i, left)
-        a += [int(k[i])] * int(ok.sum())
-        b += k[left[ok]].tolist()
-        left = left[~ok]
-    return pa.table({"run": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    k, order = tile.k, tile.order
+    label, tried = table.column("label").to_numpy()[order], table.column("tried").to_pylist()
+    tried = [set(tried[i] or ()) for i in order]
+    best, choice = np.zeros(len(k)), np.zeros(len(k), np.int64)
+    for i in range(len(k) - 1):
+        js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(js):
+            continue
+        like = tile.likeness(i, js)
+        hit = np.flatnonzero(like > 0)
+        if not len(hit):
+            continue
+        js, like = js[hit], like[hit]
+        fresh = np.array([k[i] not in tried[j] for j in js]) & (like > best[js])
+        best[js[fresh]], choice[js[fresh]] = like[fresh], k[i]
+        if tried[i]:
+            like = np.where([k[j] in tried[i] for j in js], 0.0, like)
+        at = int(np.argmax(like))
+        if like[at] > best[i]:
+            best[i], choice[i] = like[at], k[js[at]]
+    own = np.flatnonzero(best > 0)
+    return pa.table({"run": pa.array([key[0].as_py()] * len(own), pa.int64()), "k": pa.array(k[own], pa.int64()), "other": pa.array(choice[own], pa.int64()), "like": pa.array(best[own], pa.float64())})
 
 
 def _crossing(key: tuple, table: pa.Table) -> pa.Table:
-    """All pairs of a tile that may link and lie in different components (and, between two chunks, in different chunks)."""
+    """All pairs of a tile that may link and lie in different components (and, between two chunks, in different chunks).
+
+    A pair that several runs hold is given by the least of them: where no smaller run is common to both.
+    """
     tile = _Tile(table)
     k, order = tile.k, tile.order
     label, chunk = table.column("label").to_numpy()[order], table.column("chunk").to_numpy()[order]
     two = key[1].as_py() != key[2].as_py()
+    run, held = key[0].as_py(), table.column("runs").to_pylist()
+    smaller = [{r for r in held[x] if r < run} for x in order]
     a, b = [], []
     for i in range(len(k) - 1):
         js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if two:
             js = js[chunk[js] != chunk[i]]
         if len(js):
-            js = js[tile.room(i, js)]
+            js = js[tile.likeness(i, js) > 0]
+            apart = smaller[i].isdisjoint
+            js = js[[apart(smaller[j]) for j in js]] if len(js) else js
             a += [int(k[i])] * len(js)
             b += k[js].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -332,8 +357,16 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: Data
     return both.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long").distinct()
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their component, of runs that hold more than one component."""
+    own = members.join(labels, F.col("k") == F.col("node"), "left").withColumn("label", F.coalesce("label", "k")).drop("node")
+    several = own.groupBy("run").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("run")
+    return own.join(several, "run", "left_semi")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class (fingerprint of its set) and component_id."""
+    spark = docs.sparkSession
     for salt in range(8):
         sig = cut(signatures(docs, key, text, salt))
         of_docs = sig.where("k is not null")
@@ -345,23 +378,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = cut(runs(docs, key, text, _heavy(sig), max(16, -(-int(entries) // PART_ENTRIES)), salt))
     tile = reps.select("k", "n", "bits")
 
-    members = found.select("run", "chunk", F.explode(F.concat("members", "lead")).alias("k")).join(tile, "k")
-    starred = cut(members.groupBy("run", "chunk").applyInArrow(_leaders, "run long, a long, b long"))
-    # One leader a class; what its other leaders would add is taken up by the second round.
-    first = cut(starred.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = cut(_verified(docs, key, text, first, reps, salt))
-    labels = components(links)
-
-    open_runs = starred.select("run").distinct().unionByName(found.where("chunks > 1").select("run").distinct()).distinct()
-    labelled = found.join(open_runs, "run", "left_semi").select("run", "chunk", "chunks", F.explode("members").alias("k")).join(labels, F.col("k") == F.col("node"), "left")
-    labelled = labelled.select("run", "chunk", "chunks", "k", F.coalesce("label", "k").alias("label"))
-    mixed = labelled.groupBy("run").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("run")
-    again = labelled.join(mixed, "run").join(tile, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    again = again.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "k", "n", "bits", "label")
-    second = again.groupBy("run", "i", "j").applyInArrow(_crossing, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        links = links.unionByName(_verified(docs, key, text, second, reps, salt))
+    members = found.select("run", "chunk", "chunks", F.explode("members").alias("k"), F.lit(False).alias("guest"))
+    members = members.unionByName(found.where("chunk > 0").select("run", "chunk", "chunks", F.explode("lead").alias("k"), F.lit(True).alias("guest")))
+    labels = tried = links = None
+    for _ in range(ROUNDS):
+        if labels is not None:
+            members = _mixed(members.drop("label"), labels)
+        own = members.join(tile, "k")
+        own = own.withColumn("label", F.col("k")) if labels is None else own
+        own = own.withColumn("tried", F.lit(None).cast("array<long>")) if tried is None else own.join(tried.groupBy("k").agg(F.collect_list("other").alias("tried")), "k", "left")
+        chosen = cut(own.select("run", "chunk", "k", "n", "bits", "label", "tried").groupBy("run", "chunk").applyInArrow(_nearest, "run long, k long, other long, like double"))
+        best = cut(chosen.groupBy("k").agg(F.max_by("other", F.struct("like", "other")).alias("other")))
+        if not best.limit(1).count():
+            break
+        # A run without a choice has no pair left to look at; runs of several chunks have pairs between these.
+        members = cut(members.join(chosen.select("run").distinct(), "run", "left_semi").unionByName(members.where("chunks > 1").join(chosen.select("run").distinct(), "run", "left_anti")))
+        pairs = best.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
+        tried = best if tried is None else cut(tried.unionByName(best))
+        new = cut(_verified(docs, key, text, pairs, reps, salt))
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
+        labels = components(links)
+
+    left = _mixed(members.where("NOT guest").drop("label", "guest"), labels)
+    left = cut(left)
+    held = left.groupBy("k").agg(F.collect_set("run").alias("runs"))  # at most as many as the set's prefix has entries
+    again = left.join(held, "k").join(tile, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    again = again.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "k", "n", "bits", "label", "runs")
+    last = cut(again.groupBy("run", "i", "j").applyInArrow(_crossing, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if last.limit(1).count():
+        links = links.unionByName(_verified(docs, key, text, last, reps, salt))
         labels = components(links)
 
     placed = labels.join(reps.select(F.col("k").alias("node"), "id"), "node")
