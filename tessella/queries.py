@@ -13,6 +13,7 @@ from tessella.functions import fmt
 from tessella.model import GRAPHS
 from tessella.operators import benchstats, combine, compare, counting, fliptree, series, trace_mode
 from tessella.operators.enumerate import explode_faces, triangulate_faces
+from tessella.session import share_package
 from tessella.sources import graphs as source
 
 #: Inline graphs: biconnected ones, and closed walks that repeat vertices.
@@ -39,6 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def inline(spark: SparkSession, graphs: dict) -> DataFrame:
+    share_package(spark)
     return spark.createDataFrame(list(graphs.items()), GRAPHS)
 
 
