@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _step(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on edges u > v; no adjacency list is gathered, least neighbours are joined back."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
+    large = both.join(least, F.col("u") == F.col("w")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    small = large.join(lowest, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(lowest.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
+def near_labels(links: DataFrame, steps: int = 2) -> DataFrame:
+    """``node`` and ``label`` after a few steps: nodes with one label are connected, but not all connected nodes have one label yet."""
+    edges = _edges(links)
+    for _ in range(steps):
+        edges = _step(edges)
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (its component's least node) for every node of ``links`` (columns a, b).
 
     Each step sends rows to smaller neighbours; a step that changes nothing ends the loop. Every step is checkpointed, so
-    lineage stays short and a lost executor costs one step. No adjacency list is ever gathered: least neighbours come
-    from a partial aggregation and are joined back.
+    lineage stays short and a lost executor costs one step.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    edges = cut(_step(_edges(links)))
     before = state(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(lowest, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(lowest.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = cut(_step(edges))
         after = state(edges)
         if after == before:
             break

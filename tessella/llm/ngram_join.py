@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, bitmap, cut
-from .components import components
+from .components import components, near_labels
 
 SHINGLE = 5
 PERCENT = 75
@@ -40,7 +40,7 @@ LEAST_BITS = 512
 TILE = 1024
 LEADERS = 64
 #: Rounds in which every class proposes one partner, before all remaining pairs are taken up.
-ROUNDS = 4
+ROUNDS = 2
 #: A shingle counts as heavy if batches in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
 LOCAL, HEAVY, HEAVY_MOST = 8, 48, 1 << 18
 #: Prefix entries of one packed part.
@@ -329,7 +329,7 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: Data
     Texts travel, not sets, as they pack better; only those whose id's bit is set in a bitmap of the ids concerned.
     """
     named = pairs.join(reps.select(F.col("k").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("k").alias("b"), F.col("id").alias("ib")), "b")
-    named = cut(named.select("a", "b", "ia", "ib"))
+    named = named.select("a", "b", "ia", "ib")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
     table = bitmap(named.select(F.explode(F.array("ia", "ib")).alias("i")).distinct().select(place("i").alias("p")), "p", ID_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -382,28 +382,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     members = members.unionByName(found.where("chunk > 0").select("run", "chunk", "chunks", F.explode("lead").alias("k"), F.lit(True).alias("guest")))
     labels = tried = links = None
     for _ in range(ROUNDS):
-        if labels is not None:
-            members = _mixed(members.drop("label"), labels)
+        members = members.withColumn("label", F.col("k")) if labels is None else cut(_mixed(members.drop("label"), labels))
         own = members.join(tile, "k")
-        own = own.withColumn("label", F.col("k")) if labels is None else own
         own = own.withColumn("tried", F.lit(None).cast("array<long>")) if tried is None else own.join(tried.groupBy("k").agg(F.collect_list("other").alias("tried")), "k", "left")
         chosen = cut(own.select("run", "chunk", "k", "n", "bits", "label", "tried").groupBy("run", "chunk").applyInArrow(_nearest, "run long, k long, other long, like double"))
         best = cut(chosen.groupBy("k").agg(F.max_by("other", F.struct("like", "other")).alias("other")))
         if not best.limit(1).count():
             break
         # A run without a choice has no pair left to look at; runs of several chunks have pairs between these.
-        members = cut(members.join(chosen.select("run").distinct(), "run", "left_semi").unionByName(members.where("chunks > 1").join(chosen.select("run").distinct(), "run", "left_anti")))
+        chosen_runs = chosen.select("run").unionByName(found.where("chunks > 1").select("run")).distinct()
+        members = members.join(chosen_runs, "run", "left_semi")
+        tried = best if tried is None else tried.unionByName(best)
         pairs = best.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
-        tried = best if tried is None else cut(tried.unionByName(best))
         new = cut(_verified(docs, key, text, pairs, reps, salt))
         links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        labels = cut(near_labels(links))
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
-        labels = components(links)
+    labels = components(links)
 
-    left = _mixed(members.where("NOT guest").drop("label", "guest"), labels)
-    left = cut(left)
+    left = cut(_mixed(members.where("NOT guest").drop("guest", "label"), labels))
     held = left.groupBy("k").agg(F.collect_set("run").alias("runs"))  # at most as many as the set's prefix has entries
     again = left.join(held, "k").join(tile, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     again = again.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "k", "n", "bits", "label", "runs")
