@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD_BYTES
 
-FIT_POSITIVE, FIT_NEGATIVE, FIT_CHARS = 1200, 2400, 10_000
+FIT_POSITIVE, FIT_NEGATIVE, FIT_CHARS = 800, 2000, 10_000
 #: A word is a term if the log-likelihood ratio of its counts in toxic and other rows is at least this.
 LEAST_EVIDENCE = 18.0
 MAX_TERMS, LEAST_DOCS = 20_000, 3
@@ -108,39 +108,47 @@ def _evidence(a: float, n1: float, b: float, n0: float) -> float:
 
 def fit(rows: Iterator[tuple[bytes, int]], steps: int = STEPS) -> Model:
     """Learn from (text, label). Words must be in LEAST_DOCS toxic rows and clearly commoner in them; Adam on the noisy-or likelihood."""
-    bags: list[list[set[bytes]]] = []
-    labels: list[int] = []
-    for text, y in rows:
-        bags.append([{t for w in set(s.split()) if len(w) <= 100 for t in terms_of(w)} for s in sentences(text)])
-        labels.append(y)
-    y = np.array(labels, float)
+    held = list(rows)
+    y = np.array([label for _, label in held], float)
     if not len(y) or y.min() == y.max():
         return Model()
     n1, n0 = y.sum(), (1 - y).sum()
-    seen = (Counter(), Counter())
-    for bag, label in zip(bags, labels, strict=True):
-        seen[label].update(set().union(*bag) if bag else ())
-    strength = {w: _evidence(c, n1, seen[0][w], n0) for w, c in seen[1].items() if c >= LEAST_DOCS and c * n0 > 2 * seen[0][w] * n1}
-    terms = sorted((w for w, g in strength.items() if g >= LEAST_EVIDENCE), key=lambda w: (-strength[w], w))[:MAX_TERMS]
-    number = {w: i for i, w in enumerate(terms)}
+
+    def terms_in(words) -> Iterator[bytes]:
+        return (t for w in set(words) if len(w) <= 100 for t in terms_of(w))
+
+    # Only terms of LEAST_DOCS toxic rows are counted in the others, so what is held follows the toxic rows alone.
+    toxic: Counter = Counter()
+    for text, label in held:
+        if label:
+            toxic.update(set(terms_in(text.translate(WORD_BYTES).split())))
+    toxic = Counter({t: c for t, c in toxic.items() if c >= LEAST_DOCS})
+    other: Counter = Counter()
+    for text, label in held:
+        if not label:
+            other.update({t for t in terms_in(text.translate(WORD_BYTES).split()) if t in toxic})
+    strength = {t: _evidence(c, n1, other[t], n0) for t, c in toxic.items() if c * n0 > 2 * other[t] * n1}
+    terms = sorted((t for t, g in strength.items() if g >= LEAST_EVIDENCE), key=lambda t: (-strength[t], t))[:MAX_TERMS]
+    number = {t: i for i, t in enumerate(terms)}
     # Sentences without a term are alike: a bag has its count of them, and the others are instances of their own.
-    plain, owner, cols, inst = np.zeros(len(bags)), [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [number[w] for w in s if w in number]
+    plain, owner, cols, inst = np.zeros(len(held)), [], [], []
+    for d, (text, _) in enumerate(held):
+        for s in sentences(text):
+            ids = {number[t] for t in terms_in(s.split()) if t in number}
             if ids:
                 inst += [len(owner)] * len(ids)
-                cols += ids
+                cols += sorted(ids)
                 owner.append(d)
             else:
                 plain[d] += 1
+    held.clear()
     owner_, cols_, inst_ = np.array(owner, np.int64), np.array(cols, np.int64), np.array(inst, np.int64)
     w, b = np.zeros(len(terms)), START_BIAS
     m, v = np.zeros(len(terms) + 1), np.zeros(len(terms) + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(inst_, w[cols_], minlength=len(owner_)) if len(owner_) else np.zeros(0)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-b))
-        none = plain * math.log1p(-p0) + np.bincount(owner_, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags))
+        none = plain * math.log1p(-p0) + np.bincount(owner_, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
         bag_p = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
         # d loss / d z of an instance is p * (1 - y / P)
         pull = 1 - y / bag_p
