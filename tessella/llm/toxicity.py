@@ -173,8 +173,17 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def learn(docs: DataFrame, labels: DataFrame, **names) -> Model:
-    rows = sample(docs, labels, **names).orderBy("_d", "t").toLocalIterator(prefetchPartitions=False)
-    return fit((r["t"].encode(), r["y"]) for r in rows)
+    """Fit in one task, on the bounded sample; the driver gets the weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, y) for batch in batches for t, y in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        model = fit(iter(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *model.weights], pa.binary()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["term", "weight"])
+
+    one = sample(docs, labels, **names).repartition(1).sortWithinPartitions("_d", "t").select("t", "y")
+    found = one.mapInArrow(run, "term binary, weight double").collect()
+    bias = [r["weight"] for r in found if r["term"] is None]
+    return Model(bias[0], {bytes(r["term"]): r["weight"] for r in found if r["term"] is not None}) if bias else Model()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_below: float | None = None) -> DataFrame:
