@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,24 @@ def test_mixed_table_is_whole_and_in_proportion(spark, most):
             n = Counter(first[x] for x in range(t + 1))
             assert abs(n["big"] - 0.5 * (t + 1)) < 1.1 and abs(n["small"] - 0.4 * (t + 1)) < 1.1
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def furthest_from_target(got, weights):
+    """The largest deviation from the weights, in blocks, over the slots before a source runs out; and the number of these."""
+    owner = dict(sorted({r["slot"]: r["source"] for r in got}.items()))
+    weights = {s: Fraction(w) for s, w in weights.items()}
+    left, total = Counter(owner.values()), sum(weights.values())
+    done, worst = Counter(), Fraction(0)
+    for t, s in owner.items():
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - w / total * (t + 1)) for x, w in weights.items()))
+        if done[s] == left[s]:
+            return worst, t + 1
+    return worst, len(owner)
+
+
+def test_mixed_table_keeps_to_the_given_weights_over_all_slots(spark):
+    weights = {"s0": 0.5} | {f"s{i}": 0.5 / 19 for i in range(1, 20)}
+    docs = spark.range(8000).selectExpr("id AS doc_id", "CASE WHEN id < 4000 THEN 's0' ELSE concat('s', id % 19 + 1) END AS source")
+    worst, slots = furthest_from_target(mixing.mix(docs, weights, block_rows=1).collect(), weights)
+    assert worst < 1 and slots > 7900
