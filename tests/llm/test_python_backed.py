@@ -218,3 +218,13 @@ def test_mixed_table_keeps_to_the_given_weights_over_all_slots(spark):
     docs = spark.range(8000).selectExpr("id AS doc_id", "CASE WHEN id < 4000 THEN 's0' ELSE concat('s', id % 19 + 1) END AS source")
     worst, slots = furthest_from_target(mixing.mix(docs, weights, block_rows=1).collect(), weights)
     assert worst < 1 and slots > 7900
+
+
+def test_every_source_keeps_its_own_weight_however_many_there_are(spark):
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(400)}
+    docs = spark.range(24000).selectExpr("id AS doc_id", "concat('s', id % 400) AS source")
+    for most in (255, 2):
+        worst, slots = furthest_from_target(mixing.mix(docs, weights, block_rows=2, max_sources=most).collect(), weights)
+        assert worst < 1 and slots > 7700
+    owner = dict(sorted((r["slot"], r["source"]) for r in mixing.mix(docs, block_rows=2).collect()))
+    assert len(owner) == 12000 and all(len({owner[400 * k + t] for t in range(400)}) == 400 for k in range(30))
