@@ -1,6 +1,6 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A document that holds none of the gate strings is settled by one pass of substring tests. The others are normalised to words
+A document that holds no rule's keyword, word by word, is settled by one pass of substring tests. The others are normalised to words
 with single spaces; of the rule table only rules whose keyword occurs are run, every match of a rule becomes a detection
 (start, end, priority, label), and a detection that lies within another one is suppressed: the detections are sorted by start,
 then longest, then priority, and swept once. Everything happens inside the row, so a document of any length stays one row
@@ -15,6 +15,8 @@ are scanned one by one; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,6 @@ from .common import ascii_lower, let
 #: Fixed values of the base: phrase and label.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: A document without any of these (lower-cased) has no detection; every rule's pattern needs one of them.
-GATES = ("licen", "gnu", "gpl", "apache", "cc", "creative", "public domain", "mozilla", "bsd")
-
 _LICENSE = "licen[cs]ed?"
 #: Families: label, keyword, name in words, versions ("" for none).
 FAMILIES = (
@@ -152,11 +151,16 @@ def _kept(detections: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", rules: list[dict] | None = None) -> DataFrame:
     """``docs`` with n_words and ``scan``: detections kept (label, start, end, conf) and the base places."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lowered = F.lower(t)
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(lowered, F.lit(g))
-    table = F.from_json(F.lit(json.dumps(rules if rules is not None else rule_table())), _RULE_SCHEMA)
+    rules = rule_table() if rules is None else rules
+
+    def gate(lowered):
+        """A keyword's words lie whole between separators, so they are looked for one by one before any normalising."""
+        found = F.lit(False)
+        for keyword in sorted({r["keyword"] for r in rules}):
+            found = found | reduce(and_, (F.contains(lowered, F.lit(w)) for w in keyword.split()), F.lit(True))
+        return found
+
+    table = F.from_json(F.lit(json.dumps(rules)), _RULE_SCHEMA)
     norm = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(t), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
     norm = F.regexp_replace(norm, "^ +| +$", " ")
 
@@ -187,5 +191,5 @@ def scan(docs: DataFrame, text: str = "text", rules: list[dict] | None = None) -
     return docs.select(
         *[c for c in docs.columns if c != text],
         F.regexp_count(t, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
-        F.when(gate, let(norm, result)).alias("scan"),
+        F.when(let(ascii_lower(t), gate), let(norm, result)).alias("scan"),
     )

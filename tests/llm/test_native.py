@@ -74,6 +74,24 @@ def test_license_base_places(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def shortest(pattern):
+    """A text that the rule's pattern matches: optional parts left out, the first of alternatives taken."""
+    text = pattern.replace("(?<= )", "").replace("(?= )", "").replace("[cs]", "s")
+    while "(?:" in text:
+        text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], text)
+    return re.sub(r".\?", "", text)
+
+
+def test_every_license_rule_fires_on_a_text_that_holds_nothing_else(spark):
+    rules = license_scan.rule_table()
+    texts = [shortest(r["pattern"]) for r in rules]
+    assert all(re.search(r["pattern"], f" {t} ") for r, t in zip(rules, texts, strict=True))
+    more = ["Released under\nMIT.", "distributed under the ISC", "available under the Boost Software 1.0", "Released into the PUBLIC-domain!", "in the public\ndomain"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")).orderBy("doc_id").collect()
+    missed = [t for t, r in zip(texts + more, rows, strict=True) if r["scan"] is None or not r["scan"]["labels"] or not r["scan"]["score"] > 0]
+    assert missed == []
+
+
 def test_license_suppression(spark):
     texts = ["This is released under the Apache License, Version 2.0 and nothing else", "Licensed under CC BY-NC 4.0.", "the GNU General Public License, version 3 or later", "plain words"]
     rows = license_scan.scan(spark.createDataFrame([(i, "s", t, 0.0, "k") for i, t in enumerate(texts)], DOCS)).orderBy("doc_id").collect()
