@@ -116,6 +116,23 @@ def test_toxicity_learns_from_document_labels_and_finds_sentences():
     assert model.score(None) == model.score(b"") == (0.0, []) and toxicity.fit(iter([])).score(b"x")[0] == 0.0
 
 
+def test_long_clean_texts_stay_below_the_threshold_with_noisy_labels():
+    r = random.Random(2)
+    clean = lambda n: " ".join(" ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(8)) + "." for _ in range(n))
+    rows = [(f"{clean(r.randint(1, 12))} {'You are vile.' if i % 3 else ''}".encode(), 1) for i in range(300)] + [(clean(r.randint(1, 12)).encode(), 0) for _ in range(700)]
+    model = toxicity.fit(iter(rows))
+    scores = [model.score(clean(n).encode())[0] for n in (1, 100, 1000, 3000)]
+    assert max(scores) < 0.3 and model.score((clean(1000) + " You are vile.").encode())[0] > 0.3
+
+
+def test_long_texts_are_fitted_and_rows_weigh_by_the_counted_shares(spark):
+    docs = spark.createDataFrame([(i, ("awful. " if i % 10 == 0 else "nice. ") * 3000, "s") for i in range(300)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels).count() == 300
+    model = toxicity.learn(docs, labels)
+    assert model.score(b"awful. " * 3000)[0] > 0.3 > model.score(b"nice. " * 5000)[0]
+
+
 def test_toxicity_on_tables(spark):
     docs = spark.createDataFrame([(i, f"good {i}. nice" if i % 2 else f"awful {i}! so awful", "s") for i in range(200)] + [(None, None, "s"), (7, "good", "s")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(150)] + [(3, 1, None), (None, 1, 1), (4, 1, 1), (9999, 0, 1)], "doc_id long, quality int, toxic int")
