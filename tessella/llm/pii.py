@@ -1,7 +1,8 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
 Candidates are found by one pattern and validated: Luhn for card numbers, octet ranges for addresses, calendar for dates, area
-rules for social security numbers, remainder 97 for IBANs. A valid value is numbered within all values of its
+rules for social security numbers, remainder 97 for IBANs. If a card or IBAN candidate fails, the runs of its tokens are tried, the longest
+first, and then the search goes on one token later. A valid value is numbered within all values of its
 format, the number is permuted by a keyed Feistel network with cycle walking, and the result is written in the same format. So
 equal values have equal pseudonyms in every document, with or without separators, different values have different
 ones, and a text keeps its length. With the key the permutation can be undone.
@@ -42,6 +43,10 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
+#: Kinds whose candidates run over spaces or hyphens into what stands beside a value: a token, and the characters a value may have.
+_TOKENS = {"card": (re.compile("[0-9]+"), " -", 13, 19), "iban": (re.compile("[0-9A-Z]+"), " ", 15, 34)}
+_MORE = re.compile("[ -][0-9]")
+_IBAN_START = re.compile("[A-Z]{2}[0-9]{2}")
 _DIGITS = b"0123456789@"
 
 
@@ -198,15 +203,46 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds of the values found in order."""
         kinds: list[str] = []
-
-        def new(m: re.Match) -> str:
-            got = self.of(m.lastgroup, m.group())
+        out: list[str] = []
+        at = look = 0
+        while m := _PATTERN.search(text, look):
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            got = self.of(kind, m.group())
+            # A card with two kinds of separators, or with more digits behind it, may hold the value rather than be it.
+            if kind in _TOKENS and (got is None or kind == "card" and (len(set(m.group()) & set(" -")) > 1 or _MORE.match(text, end))):
+                start, end, got, look = self._within(kind, text, start, end)
             if got is None:
-                return m.group()
-            kinds.append(m.lastgroup)
-            return got
-
-        return _PATTERN.sub(new, text), kinds
+                look = look if kind in _TOKENS else end
+                continue
+            out += [text[at:start], got]
+            kinds.append(kind)
+            at = look = end
+        return "".join(out) + text[at:], kinds
+
+    def _within(self, kind: str, text: str, start: int, end: int) -> tuple[int, int, str | None, int]:
+        """The likeliest and longest valid run of whole tokens that begins in a failed candidate, and where to look on if there is none."""
+        token, between, least, most = _TOKENS[kind]
+        spans: list[tuple[int, int]] = []
+        for m in token.finditer(text, start):
+            if spans and not (m.start() == spans[-1][1] + 1 and text[spans[-1][1]] in between) or m.start() >= end + most:
+                break
+            spans.append(m.span())
+        found: list[tuple[bool, bool, int, int, int]] = []
+        for i, (s, _) in enumerate(spans):
+            if s >= end or (kind == "iban" and not _IBAN_START.match(text, s)):
+                continue
+            size = 0
+            for b, e in spans[i:]:
+                size += e - b
+                if size > most:
+                    break
+                if size >= least and not text[e : e + 1].isalnum():
+                    # Runs with one separator, and cards that begin as issuers number them, come first.
+                    found.append((len(set(text[s:e]) & set(between)) > 1, kind == "card" and text[s] not in "23456", -size, s, e))
+        for *_, s, e in sorted(found):
+            if (got := self.of(kind, text[s:e])) is not None:
+                return s, e, got, e
+        return start, end, None, spans[1][0] if len(spans) > 1 and spans[1][0] < end else end
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, counts: bool = True) -> DataFrame:

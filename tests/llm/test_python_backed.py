@@ -171,6 +171,18 @@ def test_pseudonyms_keep_format_links_and_can_be_undone():
         assert there.of(kind, v) is None
 
 
+@pytest.mark.parametrize("kind, value", [("card", "4111 1111 1111 1111"), ("card", "5500-0000-0000-0004"), ("card", "4111111111111111"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("iban", "GB82WEST12345698765432")])
+def test_values_beside_other_digits_and_capital_words(kind, value):
+    p = pii.Pseudonyms()
+    new = p.of(kind, value)
+    beside = ["{} AND", "{} 12/27", "{} 7", "AB12 {}"] if kind == "iban" else ["{} 12/27", "5 {}", "12 34 56 {}", "{} 123", "1234 {}, 9", "AB12 {}"]
+    for text in beside:
+        got, kinds = p.replace(text.format(value))
+        assert got == text.format(new) and kinds == [kind], text
+    plain = "4111 1111 1111 1112 and 12 34 56"
+    assert p.replace(plain)[0] == plain
+
+
 def test_pseudonymised_tables(spark):
     texts = [None, "", "no data", "mail und.34@mail7.example.com now", "call (017) 555-7713. Or (017) 555-7713!", "x" * 50_000 + " 10.0.0.1 é", "4111111111111112 stays, v1.2.3 and 4.0 too"]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(3, texts[3], 5)], "doc_id long, text string, n_ip int")
