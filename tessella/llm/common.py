@@ -66,8 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
 def bitmap(df: DataFrame, place: str, bits: int) -> np.ndarray:
     """``bits`` bits as int64 words, those set whose number is in the column: aggregated to words first, so its size is fixed."""
     word, bit = (F.col(place) / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(place) % 64).cast("int")).alias("b")
-    rows = df.select(word, bit).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    rows = df.select(word, bit).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    if rows:
-        out[[r["w"] for r in rows]] = [r["b"] for r in rows]
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out

@@ -1,25 +1,30 @@
 """Jaccard self-join of documents on word 5-grams, exact at 0.75, by size-banded tiles and hashed bitmap signatures.
 
-1. ``signatures``: one pass gives each document its set's size, fingerprint and a bitmap of at least two bits a shingle; equal sets become one class.
-   The same pass names heavy shingles, those that many documents of a batch share.
-2. ``runs``: a class is filed under the prefix of its set, which any partner must share. The order behind the prefix puts
+1. ``signatures``: one pass gives each document its set's size, fingerprint, four least hashes and a bitmap of at least four bits a
+   shingle; equal sets become one class. The same pass names heavy shingles, those that many documents of a batch share.
+2. ``_proposed``: a class proposes the leader with whom it shares most least hashes, two at least. Verified
+   proposals join the bulk of a group of near copies at a cost of one pair a class.
+3. ``runs``: a class is filed under the prefix of its set, which any partner must share. The order behind the prefix puts
    heavy shingles last, so passages that many documents share are looked up only where nothing rarer is left. Entries travel
-   packed; a run is the set of classes filed under one shingle, and equal runs are kept once.
-3. Tiles of at most ``TILE`` classes of a run, ordered by size: two classes are a candidate if their sizes are within the ratio and
-   their bitmaps' differing bits leave room for the overlap that 0.75 needs. In each of ROUNDS rounds a class proposes the
-   class of another component that it may be most like, and verified proposals join components, so thousands of near copies meet in
-   a few rounds of one pair each. What then still lies in different components is taken up pair by pair.
-   A run that is one component already is skipped.
-4. Candidates are verified by intersecting the full sets. Only the texts concerned, which a bitmap of their ids selects, are shuffled to
-   their pairs.
-5. Links give components. No pair, link or component is ever gathered on the driver.
-
-Heavy shingles and bitmaps decide only the cost: every pair at 0.75 shares a prefix shingle under any common order, and the
-bitmap bound never rejects such a pair.
+   packed, with their size to a byte. The classes filed under one shingle and of fitting sizes make a run, and runs with the same least class are put together, so the many
+   overlapping runs of a group of near copies count about once. Shingles with very many entries are filed in several parts.
+4. ``_tiled``: only runs that hold several components are looked at. A tile has at most TILE classes of a run; of a larger run
+   every tile holds a part of all classes and a part of those outside its largest component. Classes stand ordered by
+   size, so each is compared with its size band alone; two classes are a candidate if their bitmaps' differing bits leave room for the
+   overlap that 0.75 needs. Bitmaps folded to a quarter sort out most rows first. One round verifies the likest pair of each class and other component, the next all pairs between
+   components that the first left unnamed.
+5. Candidates are verified by intersecting the full sets. Only the texts concerned are shuffled to their pairs.
+6. Links give components. No pair, link or component is ever gathered on the driver.
+
+``join`` gives classes and components and needs no pair inside a component; ``links`` gives every linked pair of classes.
+
+Heavy shingles, bitmaps and proposals decide only the cost: every pair at 0.75 shares a prefix shingle under any common order,
+and the bitmap bound never rejects such a pair.
 
 Defined cases: null, empty or blank text has an empty set and is linked with nothing; fewer than five words are one shingle;
 rows with a null doc_id are linked with nothing and have a null component; rows that repeat a doc_id are nodes of their own, told
-apart by their sets; an empty table gives an empty result; further columns are ignored.
+apart by their sets; doc_ids of any ordered type do; texts of any length are taken whole, about CHUNK_BYTES at a time; an empty table
+gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +37,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, bitmap, cut
-from .components import components, near_labels
+from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 512
 TILE = 1024
-LEADERS = 64
-#: Rounds in which every class proposes one partner, before all remaining pairs are taken up.
-ROUNDS = 2
 #: A shingle counts as heavy if batches in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
 LOCAL, HEAVY, HEAVY_MOST = 8, 48, 1 << 18
-#: Prefix entries of one packed part.
-PART_ENTRIES = 500_000
+#: Prefix entries of one packed part, and of one shingle in it.
+PART_ENTRIES, SPLIT = 1_500_000, 20_000
 CHUNK_BYTES = 2 << 20
+#: Up to so many ids select their texts as a broadcast table; beyond, a bitmap of ID_BITS bits does.
+BROADCAST_IDS = 500_000
 ID_BITS = 1 << 25
+#: Sizes of entries are told to a factor; sets within 0.75 are at most so many steps apart.
+SIZE_STEP = 1.06
+SIZE_GAP = 6
+#: Words of bitmaps that one vectorised comparison holds.
+PAIR_WORDS = 1 << 21
+_LEAST = ("h0", "h1", "h2", "h3")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -122,8 +132,8 @@ def _fingerprint(s: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the bitmap of n shingles: a power of two from 2 n on, so that sets in one another's size band differ by one step at most."""
-    return max(LEAST_BITS, 1 << max(2 * n - 1, 1).bit_length())
+    """Bits of the bitmap of n shingles: a power of two from 4 n on, so that sets in one another's size band differ by one step at most."""
+    return max(LEAST_BITS, 1 << max(4 * n - 1, 1).bit_length())
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -133,31 +143,45 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _least_hashes(s: np.ndarray) -> tuple[int, ...]:
+    """Four shingles that similar sets are likely to share: the least and greatest hash, and those of the lower halves."""
+    if not len(s):
+        return (0, 0, 0, 0)
+    low = s << _U(32)
+    return tuple(int(x) for x in s[[0, -1, int(low.argmin()), int(low.argmax())]].view(np.int64))
+
+
+def _folded(bits: bytes) -> bytes:
+    """The bitmap at a quarter of its length."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(4, -1)).tobytes()
+
+
 def signatures(docs: DataFrame, key: str, text: str, salt: int) -> DataFrame:
-    """Rows of documents (id, n, k, k2, bits) and, in between, heavy shingles of a batch (token, found)."""
+    """Rows of documents (id, n, k, k2, bits, small, h0 to h3) and, in between, heavy shingles of a batch (token, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, k, k2, bits, sets = batch.column(0), [], [], [], [], []
+            n, k, k2, bits, least, sets = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()):
                 a, b = _fingerprint(s, salt)
                 n.append(len(s))
                 k.append(a)
                 k2.append(b)
                 bits.append(_bitmap(s))
+                least.append(_least_hashes(s))
                 sets.append(s)
             tokens, found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = found >= LOCAL
             m, h = len(n), int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(h, pa.int64())]), pa.array([*n, *[None] * h], pa.int64()), pa.array([*k, *[None] * h], pa.int64()), pa.array([*k2, *[None] * h], pa.int64()),
-                    pa.array([*bits, *[None] * h], pa.binary()), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(tokens[often].view(np.int64), pa.int64())]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(found[often], pa.int64())]),
-                ],
-                names=["id", "n", "k", "k2", "bits", "token", "found"],
-            )
+            longs = [n, k, k2, *(zip(*least, strict=True) if least else ([],) * 4)]
+            numbers = [pa.array([*x, *[None] * h], pa.int64()) for x in longs]
+            heavy = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x, pa.int64())]) for x in (tokens[often].view(np.int64), found[often])]
+            ids = pa.concat_arrays([batch.column(0), pa.nulls(h, batch.column(0).type)])
+            maps = [pa.array([*x, *[None] * h], pa.binary()) for x in (bits, map(_folded, bits))]
+            yield pa.RecordBatch.from_arrays([ids, *numbers, *maps, *heavy], names=["id", "n", "k", "k2", *_LEAST, "bits", "small", "token", "found"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, k long, k2 long, bits binary, token long, found long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, n long, k long, k2 long, h0 long, h1 long, h2 long, h3 long, bits binary, small binary, token long, found long")
 
 
 def _heavy(sig: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -179,165 +203,236 @@ def _prefix(s: np.ndarray, heavy: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def runs(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], parts: int, salt: int) -> DataFrame:
-    """Distinct runs in chunks of TILE classes: run, chunk, chunks, lead (of later chunks) and members."""
+    """Each run's classes: run, k. A run's name is its least class; a shingle with very many entries is a run of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    split = SPLIT
+
+    def ways(t: np.ndarray) -> np.ndarray:
+        """In how many parts each shingle's entries are filed."""
+        heavy, found = shared.value
+        if not len(heavy):
+            return np.ones(len(t), np.uint64)
+        at = np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)
+        return np.where(heavy[at] == t, found[at] // split + 1, 1).astype(np.uint64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, found = shared.value
         for batch in batches:
-            tokens, members, seen = [], [], set()
+            tokens, members, sizes, seen = [], [], [], set()
             for s in shingle_sets(batch.column(0).cast(pa.binary()).to_pylist()):
                 if len(s) and (k := _fingerprint(s, salt)[0]) not in seen:
                     seen.add(k)
                     p = _prefix(s, heavy, found)
                     tokens.append(p)
                     members.append(np.full(len(p), k, np.int64))
+                    sizes.append(np.full(len(p), min(255, int(np.log(len(s)) / np.log(SIZE_STEP))), np.uint8))
             if not tokens:
                 continue
-            t, m = np.concatenate(tokens), np.concatenate(members)
-            part = ((t >> _U(48)) % _U(parts)).astype(np.int32)
+            t, m, q = np.concatenate(tokens), np.concatenate(members), np.concatenate(sizes)
+            with np.errstate(over="ignore"):
+                part = (((t >> _U(24)) + mix(m.view(np.uint64)) % ways(t)) % _U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            part, m = part[order], m[order]
+            part, m, q = part[order], m[order], q[order]
             low = np.ascontiguousarray(t[order].view(np.uint8).reshape(-1, 8)[:, :6])
             cut_at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             spans = list(zip(cut_at[:-1], cut_at[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "tokens", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, m, q))], names=["part", "tokens", "members", "sizes"])
 
     def file(key: tuple, packed: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(packed.column("tokens").to_pylist()), np.uint8).reshape(-1, 6)
-        m = np.frombuffer(b"".join(packed.column("members").to_pylist()), np.int64)
-        t = np.zeros((len(low), 8), np.uint8)
-        t[:, :6] = low
+        data = {c: b"".join(packed.column(c).to_pylist()) for c in ("tokens", "members", "sizes")}
+        m, q = np.frombuffer(data["members"], np.int64), np.frombuffer(data["sizes"], np.uint8).astype(np.int16)
+        t = np.zeros((len(m), 8), np.uint8)
+        t[:, :6] = np.frombuffer(data["tokens"], np.uint8).reshape(-1, 6)
         t = t.view(np.uint64).ravel()
+        # Shingles filed in several parts, by the six bytes that are left of them.
+        heavy, found = shared.value
+        many = np.isin(t, heavy[found >= split] & _U((1 << 48) - 1))
+        order = np.lexsort((m, q, t))
+        t, m, q, many = t[order], m[order], q[order], many[order]
+        new = (t[1:] != t[:-1]) | (m[1:] != m[:-1])  # a class comes once from every batch that has it
+        keep = np.concatenate([[True], new])
+        t, m, q, many = t[keep], m[keep], q[keep], many[keep]
+        near = (t[1:] == t[:-1]) & (q[1:] - q[:-1] <= SIZE_GAP)
+        keep = many | np.concatenate([[False], near]) | np.concatenate([near, [False]])
+        t, m, many = t[keep], m[keep], many[keep]
         order = np.lexsort((m, t))
-        t, m = t[order], m[order]
-        if len(t):
-            keep = np.concatenate([[True], (t[1:] != t[:-1]) | (m[1:] != m[:-1])])
-            t, m = t[keep], m[keep]
+        t, m, many = t[order], m[order], many[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(t)))
-        with np.errstate(over="ignore"):
-            name = mix(np.add.reduceat(mix(m.view(np.uint64)), first) + size.astype(np.uint64)) if len(t) else np.zeros(0, np.uint64)
-        pick = np.flatnonzero(size > 1)
-        pick = pick[np.unique(name[pick], return_index=True)[1]]
-        out: list[tuple] = []
-        for i in pick:
-            own = m[first[i] : first[i] + size[i]]
-            n = -(-len(own) // TILE)
-            out += [(int(name[i].view(np.int64)), c, n, own[:LEADERS].tolist() if c else [], own[c * TILE : (c + 1) * TILE].tolist()) for c in range(n)]
-        run, chunk, chunks, lead, members = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [])
-        return pa.table({"run": pa.array(run, pa.int64()), "chunk": pa.array(chunk, pa.int32()), "chunks": pa.array(chunks, pa.int32()), "lead": pa.array(lead, pa.list_(pa.int64())), "members": pa.array(members, pa.list_(pa.int64()))})
-
-    packed = docs.where(F.col(key).isNotNull()).select(F.col(text)).mapInArrow(pack, "part int, tokens binary, members binary")
-    return packed.groupBy("part").applyInArrow(file, "run long, chunk int, chunks int, lead array<long>, members array<long>").dropDuplicates(["run", "chunk"])
-
-
-class _Tile:
-    """Members by size (ties by fingerprint), each once, with their bitmaps."""
-
-    def __init__(self, table: pa.Table):
-        k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
-        order = np.lexsort((k, n))
-        order = order[np.concatenate([[True], k[order][1:] != k[order][:-1]])] if len(order) else order
-        self.k, self.n, self.order = k[order], n[order], order
-        held = table.column("bits").to_pylist()
-        self.maps = [np.frombuffer(held[i], np.uint64) for i in order]
-        self.words = np.fromiter(map(len, self.maps), np.int64, len(self.maps))
-        self.grids: dict[int, np.ndarray] = {}
-
-    def _grid(self, words: int) -> np.ndarray:
-        """All bitmaps of ``words`` words, and those of twice as many folded to it; other rows are not used."""
+        name = np.repeat(np.where(many[first], mix(t[first]).view(np.int64), m[first]), np.diff(np.append(first, len(t))))
+        order = np.lexsort((m, name))
+        name, m = name[order], m[order]
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (m[1:] != m[:-1])]) if len(m) else np.zeros(0, bool)
+        return pa.table({"run": pa.array(name[new], pa.int64()), "k": pa.array(m[new], pa.int64())})
+
+    packed = docs.where(F.col(key).isNotNull()).select(F.col(text)).mapInArrow(pack, "part int, tokens binary, members binary, sizes binary")
+    return packed.groupBy("part").applyInArrow(file, "run long, k long").distinct()
+
+
+class _Maps:
+    """Bitmaps of many classes, as grids of equal length; longer ones can be folded to half."""
+
+    def __init__(self, held: list[bytes]):
+        self.maps = [np.frombuffer(x, np.uint64) for x in held]
+        self.words = np.fromiter(map(len, self.maps), np.int64, len(held))
+        self.grids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _grid(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """All bitmaps of ``words`` words and those of twice as many folded to it, and where in the grid each class is."""
         if words not in self.grids:
-            grid = np.zeros((len(self.maps), words), np.uint64)
-            for i in np.flatnonzero(self.words == words):
-                grid[i] = self.maps[i]
-            for i in np.flatnonzero(self.words == 2 * words):
-                grid[i] = self.maps[i][:words] | self.maps[i][words:]
-            self.grids[words] = grid
+            own, twice = np.flatnonzero(self.words == words), np.flatnonzero(self.words == 2 * words)
+            at = np.zeros(len(self.maps), np.int64)
+            at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            rows = [self.maps[i] for i in own] + [self.maps[i][:words] | self.maps[i][words:] for i in twice]
+            self.grids[words] = (np.stack(rows), at)
         return self.grids[words]
 
-    def likeness(self, i: int, js: np.ndarray) -> np.ndarray:
-        """The greatest similarity that sizes and bitmaps of i and each of js (none smaller) leave possible; 0 if it is below PERCENT."""
-        n, m = self.n[i], self.n[js]
-        out = np.zeros(len(js))
-        ok = PERCENT * m <= 100 * n
-        js, m = js[ok], m[ok]
-        grid = self._grid(int(self.words[i]))
-        own, others = grid[i], grid[js]
-        lost = np.bitwise_count(own & ~others).sum(1, dtype=np.int64)
-        more = np.bitwise_count(others & ~own).sum(1, dtype=np.int64)
-        most = np.minimum(n - lost, m - more)
-        out[ok] = np.where((100 + PERCENT) * most >= PERCENT * (n + m), most / (n + m - most), 0.0)
+    def likeness(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The greatest similarity that sizes n <= m and bitmaps of classes i and j leave possible; 0 if it is below PERCENT."""
+        out = np.zeros(len(i))
+        ok = np.flatnonzero(PERCENT * m <= 100 * n)
+        for words in np.unique(self.words[i[ok]]):
+            grid, at = self._grid(int(words))
+            of = ok[self.words[i[ok]] == words]
+            step = max(1, PAIR_WORDS // int(words))
+            for a in range(0, len(of), step):
+                p = of[a : a + step]
+                own, other = grid[at[i[p]]], grid[at[j[p]]]
+                differ = own ^ other
+                lost = np.bitwise_count(differ & own).sum(1, dtype=np.int64)
+                more = np.bitwise_count(differ & other).sum(1, dtype=np.int64)
+                most = np.minimum(n[p] - lost, m[p] - more)
+                out[p] = np.where((100 + PERCENT) * most >= PERCENT * (n[p] + m[p]), most / (n[p] + m[p] - most), 0.0)
         return out
 
 
-def _nearest(key: tuple, table: pa.Table) -> pa.Table:
-    """For each class of a tile the class of another component that it may be most like, if any; earlier choices are left out."""
-    tile = _Tile(table)
-    k, order = tile.k, tile.order
-    label, tried = table.column("label").to_numpy()[order], table.column("tried").to_pylist()
-    tried = [set(tried[i] or ()) for i in order]
-    best, choice = np.zeros(len(k)), np.zeros(len(k), np.int64)
-    for i in range(len(k) - 1):
-        js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if not len(js):
-            continue
-        like = tile.likeness(i, js)
-        hit = np.flatnonzero(like > 0)
-        if not len(hit):
-            continue
-        js, like = js[hit], like[hit]
-        fresh = np.array([k[i] not in tried[j] for j in js]) & (like > best[js])
-        best[js[fresh]], choice[js[fresh]] = like[fresh], k[i]
-        if tried[i]:
-            like = np.where([k[j] in tried[i] for j in js], 0.0, like)
-        at = int(np.argmax(like))
-        if like[at] > best[i]:
-            best[i], choice[i] = like[at], k[js[at]]
-    own = np.flatnonzero(best > 0)
-    return pa.table({"run": pa.array([key[0].as_py()] * len(own), pa.int64()), "k": pa.array(k[own], pa.int64()), "other": pa.array(choice[own], pa.int64()), "like": pa.array(best[own], pa.float64())})
-
-
-def _crossing(key: tuple, table: pa.Table) -> pa.Table:
-    """All pairs of a tile that may link and lie in different components (and, between two chunks, in different chunks).
-
-    A pair that several runs hold is given by the least of them: where no smaller run is common to both.
-    """
-    tile = _Tile(table)
-    k, order = tile.k, tile.order
-    label, chunk = table.column("label").to_numpy()[order], table.column("chunk").to_numpy()[order]
-    two = key[1].as_py() != key[2].as_py()
-    run, held = key[0].as_py(), table.column("runs").to_pylist()
-    smaller = [{r for r in held[x] if r < run} for x in order]
-    a, b = [], []
-    for i in range(len(k) - 1):
-        js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if two:
-            js = js[chunk[js] != chunk[i]]
-        if len(js):
-            js = js[tile.likeness(i, js) > 0]
-            apart = smaller[i].isdisjoint
-            js = js[[apart(smaller[j]) for j in js]] if len(js) else js
-            a += [int(k[i])] * len(js)
-            b += k[js].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+#: A pair of classes, or (b null) a run that has more pairs than were given. In mode "near" a run and a class of it that has a candidate.
+_PAIR = "a long, b long"
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(low[new], pa.int64()), pa.array(more, pa.int64())]), pa.concat_arrays([pa.array(high[new], pa.int64()), pa.nulls(len(more), pa.int64())])], names=["a", "b"])
+
+
+def _proposed(reps: DataFrame) -> DataFrame:
+    """For each class the leader with whom it shares most of the least hashes, two at least: pairs (a, b)."""
+    keys = reps.select("k", "n", F.posexplode(F.array(*_LEAST)).alias("j", "h"))
+    leaders = keys.groupBy("j", "h").agg(F.min_by(F.struct("k", "n"), F.xxhash64("k")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("j", "h", "lead")
+    fits = (F.col("k") != F.col("lead.k")) & (F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * PERCENT)
+    shared = keys.join(leaders, ["j", "h"]).where(fits).groupBy("k", F.col("lead.k").alias("other")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = shared.groupBy("k").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    return best.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
+
+
+def _tile_pairs(mode: str):
+    """Candidates of whole tiles (tile, run, role, k, n, label, bits), which stand one after another, ordered by size."""
+
+    def pairs(tile, run, role, k, n, label, held) -> pa.RecordBatch:
+        maps = _Maps(held)
+        # Rows of one tile within the size band of each row, behind it.
+        at = np.cumsum(np.concatenate([[0], tile[1:] != tile[:-1]]))
+        step = int(n.max()) * 2 + 1
+        end = np.searchsorted(at * step + n, at * step + np.minimum(n * 100 // PERCENT, step - 1), "right")
+        count = np.maximum(end - np.arange(len(k)) - 1, 0)
+        size = np.unique(np.stack([at, label]), axis=1, return_inverse=True, return_counts=True)
+        in_tile = size[2][size[1].ravel()]
+        found: list[tuple] = []
+        before = np.concatenate([[0], np.cumsum(count)])
+        a = 0
+        while a < len(k):
+            b = max(a + 1, int(np.searchsorted(before, before[a] + PAIR_WORDS // 4, "right")) - 1)
+            i = np.repeat(np.arange(a, b), count[a:b])
+            j = np.arange(len(i)) - np.repeat(before[a:b] - before[a], count[a:b]) + i + 1
+            ok = (label[i] != label[j]) & (((role[i] & 1) & (role[j] >> 1)) | ((role[i] >> 1) & (role[j] & 1)) == 1)
+            i, j = i[ok], j[ok]
+            like = maps.likeness(i, j, n[i], n[j])
+            hit = like > 0
+            found.append((i[hit], j[hit], like[hit]))
+            a = b
+        i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+        if mode == "near":
+            at_rows = np.unique(np.concatenate([i, j]))
+            return pa.RecordBatch.from_arrays([pa.array(run[at_rows], pa.int64()), pa.array(k[at_rows], pa.int64())], names=["a", "b"])
+        more = np.zeros(0, np.int64)
+        if mode == "best" and len(i):
+            # The likest pair of each class and other component, asked by the side with fewer classes in the tile.
+            swap = (in_tile[i] > in_tile[j]) | ((in_tile[i] == in_tile[j]) & (label[i] > label[j]))
+            one, two = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((-like, label[two], one))
+            one, two, like = one[order], two[order], like[order]
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (label[two][1:] != label[two][:-1])])
+            given, all_ = np.bincount(at[one[new]], minlength=int(at[-1]) + 1), np.bincount(at[i], minlength=int(at[-1]) + 1)
+            more = np.unique(run[given[at] < all_[at]])
+            i, j = one[new], two[new]
+        return _pair_batch(k[i], k[j], more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        rows = 0
+
+        def ready(table: pa.Table) -> pa.RecordBatch:
+            columns = [table.column(x).to_numpy() for x in ("tile", "run", "role", "k", "n", "label")]
+            return pairs(*columns, table.column("bits").to_pylist())
+
+        for batch in batches:
+            rest.append(batch)
+            rows += batch.num_rows
+            if rows >= 4 * TILE:
+                table = pa.Table.from_batches(rest)
+                tile = table.column("tile").to_numpy()
+                last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if tile[0] != tile[-1] else 0
+                if last:
+                    yield ready(table.slice(0, last))
+                rest, rows = table.slice(last).to_batches(), len(tile) - last
+        if rows:
+            yield ready(pa.Table.from_batches(rest))
+
+    return run
+
+
+def _tiled(members: DataFrame, labels: DataFrame | None, tile: DataFrame, mode: str) -> DataFrame:
+    """Candidates (a, b) between components, from runs that hold several: the likest of each class ("best"; runs with more than
+    were given come as (run, null)) or all ("every"). Or only the rows of runs that have any ("near")."""
+    own = members.withColumn("label", F.col("k")) if labels is None else members.join(labels, F.col("k") == F.col("node"), "left").withColumn("label", F.coalesce("label", "k")).drop("node")
+    held = own.groupBy("run", "label").agg(F.count(F.lit(1)).alias("c"))
+    held = held.groupBy("run").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("most")).where(F.col("most.c") < F.col("all"))
+    mixed = own.join(held.select("run", "all", F.col("most.label").alias("main"), (F.col("all") - F.col("most.c")).alias("few")), "run")
+    parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("k"), parts(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    small = mixed.where(F.col("all") <= TILE).select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("role"), "k", "label")
+    large = mixed.where(F.col("all") > TILE)
+    of_all = large.select("run", place("all").alias("i"), upto("few").alias("j"), F.lit(1).alias("role"), "k", "label")
+    of_few = large.where(F.col("label") != F.col("main")).select("run", upto("all").alias("i"), place("few").alias("j"), F.lit(2).alias("role"), "k", "label")
+    rows = small.unionByName(of_all).unionByName(of_few).join(tile, "k").select(F.xxhash64("run", "i", "j").alias("tile"), "run", "role", "k", "n", "label", "bits")
+    return rows.repartition("tile").sortWithinPartitions("tile", "n", "k").mapInArrow(_tile_pairs(mode), _PAIR).distinct()
 
 
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFrame, salt: int) -> DataFrame:
     """The pairs (a, b) whose sets reach PERCENT, by exact intersection of the sorted sets of both texts.
 
-    Texts travel, not sets, as they pack better; only those whose id's bit is set in a bitmap of the ids concerned.
+    Texts travel, not sets, as they pack better; and only those concerned.
     """
     named = pairs.join(reps.select(F.col("k").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("k").alias("b"), F.col("id").alias("ib")), "b")
-    named = named.select("a", "b", "ia", "ib")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
-    table = bitmap(named.select(F.explode(F.array("ia", "ib")).alias("i")).distinct().select(place("i").alias("p")), "p", ID_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["p"])
+    named = cut(named.select("a", "b", "ia", "ib"))
+    wanted = named.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    kind = docs.schema[key].dataType.simpleString()
+    if named.count() * 2 <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
+    else:
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place("id").alias("p")), "p", ID_BITS))
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["p"])
+
+        texts = texts.select("id", "t", place("id").alias("p")).mapInArrow(chosen, f"id {kind}, t string")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,65 +445,55 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: Data
                 ok.append((100 + PERCENT) * common >= PERCENT * (len(u) + len(v)) and _fingerprint(u, salt)[0] == x and _fingerprint(v, salt)[0] == y)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    texts = ids.select("id", "t", place("id").alias("p")).mapInArrow(chosen, "id long, t string")
     left = named.join(texts.select(F.col("id").alias("ib"), F.col("t").alias("tb")), "ib")
     both = left.join(texts.select(F.col("id").alias("ia"), F.col("t").alias("ta")), "ia")
     return both.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long").distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their component, of runs that hold more than one component."""
-    own = members.join(labels, F.col("k") == F.col("node"), "left").withColumn("label", F.coalesce("label", "k")).drop("node")
-    several = own.groupBy("run").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("run")
-    return own.join(several, "run", "left_semi")
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class (fingerprint of its set) and component_id."""
-    spark = docs.sparkSession
+def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int, np.ndarray]:
+    """Signatures of all documents, one row a class, the salt that keeps fingerprints apart, and heavy shingles."""
     for salt in range(8):
         sig = cut(signatures(docs, key, text, salt))
         of_docs = sig.where("k is not null")
-        if not of_docs.groupBy("k").agg((F.min("k2") != F.max("k2")).alias("clash")).where("clash").limit(1).count():
+        nodes = of_docs.where("id is not null and n > 0")
+        first = [F.first(c).alias(c) for c in ("n", "bits", "small", *_LEAST)]
+        reps = cut(nodes.groupBy("k").agg(F.min("id").alias("id"), *first, (F.min("k2") != F.max("k2")).alias("clash")))
+        if not reps.where("clash").limit(1).count():
             break
-    nodes = of_docs.where("id is not null and n > 0")
-    reps = cut(nodes.groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    entries = reps.agg(F.sum(F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)).first()[0] or 0
-    found = cut(runs(docs, key, text, _heavy(sig), max(16, -(-int(entries) // PART_ENTRIES)), salt))
-    tile = reps.select("k", "n", "bits")
-
-    members = found.select("run", "chunk", "chunks", F.explode("members").alias("k"), F.lit(False).alias("guest"))
-    members = members.unionByName(found.where("chunk > 0").select("run", "chunk", "chunks", F.explode("lead").alias("k"), F.lit(True).alias("guest")))
-    labels = tried = links = None
-    for _ in range(ROUNDS):
-        members = members.withColumn("label", F.col("k")) if labels is None else cut(_mixed(members.drop("label"), labels))
-        own = members.join(tile, "k")
-        own = own.withColumn("tried", F.lit(None).cast("array<long>")) if tried is None else own.join(tried.groupBy("k").agg(F.collect_list("other").alias("tried")), "k", "left")
-        chosen = cut(own.select("run", "chunk", "k", "n", "bits", "label", "tried").groupBy("run", "chunk").applyInArrow(_nearest, "run long, k long, other long, like double"))
-        best = cut(chosen.groupBy("k").agg(F.max_by("other", F.struct("like", "other")).alias("other")))
-        if not best.limit(1).count():
+    return of_docs, reps.drop("clash"), salt, _heavy(sig)
+
+
+def _members(docs: DataFrame, key: str, text: str, reps: DataFrame, heavy, salt: int) -> DataFrame:
+    entries = reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+    return cut(runs(docs, key, text, heavy, max(16, -(-int(entries) // PART_ENTRIES)), salt))
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: linked pairs (a, b) of different classes, and the class_id of every document (doc_id, n_shingles, class_id)."""
+    of_docs, reps, salt, heavy = _prepared(docs, key, text)
+    pairs = cut(_tiled(_members(docs, key, text, reps, heavy, salt), None, reps.select("k", "n", "bits"), "every"))
+    return _verified(docs, key, text, pairs, reps, salt), of_docs.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("k").alias("class_id"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (fingerprint of its set) and component_id."""
+    of_docs, reps, salt, heavy = _prepared(docs, key, text)
+    members = _members(docs, key, text, reps, heavy, salt)
+    tried = cut(_proposed(reps))
+    found = cut(_verified(docs, key, text, tried, reps, salt))
+    labels = components(found)
+    near = _tiled(members, labels, reps.select("k", "n", F.col("small").alias("bits")), "near")
+    members, tile = cut(near.select(F.col("a").alias("run"), F.col("b").alias("k"))), reps.select("k", "n", "bits")
+    for mode in ("best", "every"):
+        candidates = cut(_tiled(members, labels, tile, mode))
+        named, open_ = candidates.where("b is not null"), candidates.where("b is null").select(F.col("a").alias("run"))
+        pairs = cut(named.join(tried, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            found = found.unionByName(cut(_verified(docs, key, text, pairs, reps, salt)))
+            labels = components(found)
+        if mode == "every" or not open_.limit(1).count():
             break
-        # A run without a choice has no pair left to look at; runs of several chunks have pairs between these.
-        chosen_runs = chosen.select("run").unionByName(found.where("chunks > 1").select("run")).distinct()
-        members = members.join(chosen_runs, "run", "left_semi")
-        tried = best if tried is None else tried.unionByName(best)
-        pairs = best.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
-        new = cut(_verified(docs, key, text, pairs, reps, salt))
-        links = new if links is None else links.unionByName(new)
-        labels = cut(near_labels(links))
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    labels = components(links)
-
-    left = cut(_mixed(members.where("NOT guest").drop("guest", "label"), labels))
-    held = left.groupBy("k").agg(F.collect_set("run").alias("runs"))  # at most as many as the set's prefix has entries
-    again = left.join(held, "k").join(tile, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    again = again.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "k", "n", "bits", "label", "runs")
-    last = cut(again.groupBy("run", "i", "j").applyInArrow(_crossing, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if last.limit(1).count():
-        links = links.unionByName(_verified(docs, key, text, last, reps, salt))
-        labels = components(links)
+        members, tried = members.join(open_, "run", "left_semi"), tried.unionByName(pairs)
 
     placed = labels.join(reps.select(F.col("k").alias("node"), "id"), "node")
     least = placed.groupBy("label").agg(F.min("id").alias("component"))
@@ -424,11 +509,14 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Rows with a null doc_id and with empty sets stay.
     """
-    found = cut(join(docs, key, text).select(F.col(key).alias("_id"), "class_id", "component_id", "n_shingles"))
-    dropped = found.where("component_id < _id").select("_id").distinct()
-    kept = docs.join(dropped, docs[key] == dropped["_id"], "left_anti")
-    repeated = cut(found.where("_id is not null and n_shingles > 0").groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"))
-    if not repeated.limit(1).count():
+    found = cut(join(docs, key, text).where("n_shingles > 0").select(F.col(key).alias("_id"), "component_id").where("_id is not null"))
+    several = found.groupBy("_id").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("component_id") < F.col("_id")).alias("later"))
+    marked = cut(several.where("later or c > 1").select("_id", "later"))
+    if marked.count() <= BROADCAST_IDS:
+        marked = F.broadcast(marked)
+    kept = docs.join(marked.where("later").select("_id"), docs[key] == F.col("_id"), "left_anti")
+    if not marked.where("not later").limit(1).count():
         return kept
-    once = kept.join(repeated, kept[key] == repeated["_id"], "left_semi").dropDuplicates([key])
-    return kept.join(repeated, kept[key] == repeated["_id"], "left_anti").unionByName(once)
+    repeated = marked.where("not later").select("_id")
+    once = kept.join(repeated, kept[key] == F.col("_id"), "left_semi").dropDuplicates([key])
+    return kept.join(repeated, kept[key] == F.col("_id"), "left_anti").unionByName(once)

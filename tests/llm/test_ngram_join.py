@@ -6,17 +6,19 @@ from itertools import combinations
 
 import pytest
 
-from tessella.llm import ngram_join
+from tessella.llm import components, ngram_join
 
 SCHEMA = "doc_id long, text string, k string, component_id string"
 
 
-def brute(rows):
+def shingles(t):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute(rows):
+    sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -49,8 +51,8 @@ def corpus(seed, n=90):
             t[3:3] = line
         texts.append(" ".join(t))
         if r.random() < 0.4:
-            for _ in range(r.randint(0, 4)):
-                t[r.randrange(len(t))] = word() if t else ""
+            for _ in range(r.randint(0, 4) if t else 0):
+                t[r.randrange(len(t))] = word()
             texts.append(" ".join(t))
         if r.random() < 0.2:
             texts.append(" ".join(t).upper())
@@ -60,16 +62,45 @@ def corpus(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize("tile, heavy", [(1024, 48), (6, 3)])
-def test_components_match_all_pairs(spark, monkeypatch, tile, heavy):
-    for name, value in (("TILE", tile), ("LEADERS", 2), ("HEAVY", heavy), ("LOCAL", 2)):
-        monkeypatch.setattr(ngram_join, name, value)
-    rows = corpus(tile)
-    got = ngram_join.join(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+@pytest.mark.parametrize("settings", [{}, {"TILE": 6, "HEAVY": 3, "LOCAL": 2, "SPLIT": 4, "BROADCAST_IDS": 0, "PART": 5, "PART_ENTRIES": 300}])
+def test_components_match_all_pairs(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(components if name == "PART" else ngram_join, name, value)
+    rows = corpus(len(settings))
+    frame = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)
+    got = ngram_join.join(frame).select("doc_id", "n_shingles", "component_id").collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_links_are_all_pairs_of_different_sets(spark):
+    rows = corpus(3, 40)
+    frame = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)
+    pairs, classes = ngram_join.links(frame)
+    of = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    sets = {of[d]: shingles(t) for d, t in rows if d is not None}
+    want = {tuple(sorted((a, b))) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_ids_of_other_types_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [("b", long), ("a", long + " more"), ("x1", "one two three"), ("x0", "one  TWO three"), (None, long)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {("b", 59_996, "a"), ("a", 59_997, "a"), ("x1", 1, "x0"), ("x0", 1, "x0"), (None, 59_996, None)}
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    r = random.Random(1)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(3, 3), (50, 40), (40, 45)]
+    r.shuffle(pairs)
+    for part in (1_000_000, 7):
+        monkeypatch.setattr(components, "PART", part)
+        got = {x["node"]: x["label"] for x in components.components(components.cut(spark.createDataFrame(pairs, "a long, b long"))).collect()}
+        assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 40)} | {40: 40, 45: 40, 50: 40}
+
+
 def test_distinct_documents_keeps_one_of_each(spark):
     rows = [(5, "a b c d e f g", "x", "y"), (3, "A b c d e f g", "x", "y"), (9, "other words than those here", "x", None), (9, "other words than those here", "x", None), (1, "", "", ""), (None, None, "", "")]
     got = ngram_join.distinct_documents(spark.createDataFrame(rows, SCHEMA))
