@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.session import share_package
 
@@ -63,6 +68,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hash_sample(rows: DataFrame, group: str, key: str, most: dict | int) -> DataFrame:
+    """At most ``most`` rows of each group, those with the least hash of the key. Groups are counted first, and only hashes below
+    what their counts ask for, with some to spare, go on to be ranked: a task ranks about ``most`` rows whatever the input."""
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("c")).collect()
+    wanted = {r[group]: most if isinstance(most, int) else most.get(r[group], 0) for r in counts}
+    u = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    chosen = [(F.col(group).eqNullSafe(F.lit(r[group]))) & (u < int((1 << 40) * min(1.0, (1.3 * wanted[r[group]] + 100) / r["c"]))) for r in counts]
+    some = rows.where(reduce(lambda a, b: a | b, chosen)) if chosen else rows
+    order = Window.partitionBy(group).orderBy(u, key)
+    ranked = some.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max(wanted.values(), default=0))
+    for g, m in wanted.items():
+        ranked = ranked.where((F.col("_rank") <= m) | ~F.col(group).eqNullSafe(F.lit(g)))
+    return ranked.drop("_rank")
+
+
+def slices(batches: Iterator[pa.RecordBatch], *texts: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces that hold about ``most`` bytes of the named columns, one row at least, so that memory does not follow the rows of a batch."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+        part = np.cumsum(size) // most
+        at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def bitmap(df: DataFrame, place: str, bits: int) -> np.ndarray:
     """``bits`` bits as int64 words, those set whose number is in the column: aggregated to words first, so its size is fixed."""
     word, bit = (F.col(place) / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(place) % 64).cast("int")).alias("b")

@@ -29,6 +29,7 @@ gives an empty result; further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, bitmap, cut
+from .common import LOWER_BYTES, bitmap, cut, slices
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 512
 TILE = 1024
-#: A shingle counts as heavy if batches in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
-LOCAL, HEAVY, HEAVY_MOST = 8, 48, 1 << 18
+#: A shingle counts as heavy if pieces of a batch in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
+LOCAL, HEAVY, HEAVY_MOST = 4, 48, 1 << 18
 #: Prefix entries of one packed part, and of one shingle in it.
 PART_ENTRIES, SPLIT = 1_500_000, 20_000
-CHUNK_BYTES = 2 << 20
+#: Texts are hashed so many bytes at a time, for which numpy needs some 50 times the memory.
+CHUNK_BYTES = 512 << 10
 #: Up to so many ids select their texts as a broadcast table; beyond, a bitmap of ID_BITS bits does.
 BROADCAST_IDS = 500_000
 ID_BITS = 1 << 25
@@ -55,7 +57,7 @@ ID_BITS = 1 << 25
 SIZE_STEP = 1.06
 SIZE_GAP = 6
 #: Words of bitmaps that one vectorised comparison holds.
-PAIR_WORDS = 1 << 21
+PAIR_WORDS = 1 << 19
 _LEAST = ("h0", "h1", "h2", "h3")
 
 _SPACE = np.zeros(256, bool)
@@ -73,8 +75,22 @@ def mix(z: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each whitespace-separated word starts, and its 64-bit hash."""
+    """Where each whitespace-separated word starts, and its 64-bit hash; long data in pieces that end before a separator."""
+    found, at = [], 0
+    while at < len(data) or not found:
+        space = _SPACES.search(data, at + CHUNK_BYTES)
+        end = space.start() if space else len(data)
+        starts, h = _piece_hashes(data[at:end])
+        found.append((starts + at, h))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     space = np.concatenate([[True], _SPACE[a], [True]])
     starts = np.flatnonzero(space[:-1] & ~space[1:])
@@ -160,7 +176,7 @@ def signatures(docs: DataFrame, key: str, text: str, salt: int) -> DataFrame:
     """Rows of documents (id, n, k, k2, bits, small, h0 to h3) and, in between, heavy shingles of a batch (token, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t"):
             n, k, k2, bits, least, sets = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()):
                 a, b = _fingerprint(s, salt)
@@ -217,7 +233,7 @@ def runs(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, found = shared.value
-        for batch in batches:
+        for batch in slices(batches, text):
             tokens, members, sizes, seen = [], [], [], set()
             for s in shingle_sets(batch.column(0).cast(pa.binary()).to_pylist()):
                 if len(s) and (k := _fingerprint(s, salt)[0]) not in seen:
@@ -343,7 +359,7 @@ def _tile_pairs(mode: str):
         before = np.concatenate([[0], np.cumsum(count)])
         a = 0
         while a < len(k):
-            b = max(a + 1, int(np.searchsorted(before, before[a] + PAIR_WORDS // 4, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(before, before[a] + PAIR_WORDS // 2, "right")) - 1)
             i = np.repeat(np.arange(a, b), count[a:b])
             j = np.arange(len(i)) - np.repeat(before[a:b] - before[a], count[a:b]) + i + 1
             ok = (label[i] != label[j]) & (((role[i] & 1) & (role[j] >> 1)) | ((role[i] >> 1) & (role[j] & 1)) == 1)
@@ -435,7 +451,7 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: Data
         texts = texts.select("id", "t", place("id").alias("p")).mapInArrow(chosen, f"id {kind}, t string")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "ta", "tb"):
             ok = []
             a, b = (batch.column(x).to_pylist() for x in ("a", "b"))
             sets = [shingle_sets(batch.column(x).cast(pa.binary()).to_pylist()) for x in ("ta", "tb")]

@@ -6,10 +6,11 @@ without told words scores the leak however long it is. Weights are learned from
 afterwards the sentence scores tell where the offending sentences are.
 
 The fit is bounded: at most ``FIT_POSITIVE`` and ``FIT_NEGATIVE`` labelled rows, chosen by a hash of doc_id whatever their
-length and weighted back to the shares of the labels, and at most ``MAX_TERMS`` words. Scoring is one pass of Arrow batches with the weights broadcast.
+length and weighted back to the shares of the labels; its terms follow those rows. Scoring is one pass of Arrow batches with the weights broadcast.
 
 Defined cases: null or empty text has no sentence and scores 0; a document labelled more than once is toxic if any label
-says so, and null labels are ignored; without labels of both kinds every score is 0; repeated rows are scored one by one.
+says so, and null labels are ignored; without labels of both kinds every score is 0; repeated rows are scored one by one; words of any
+length count, and in scripts without spaces a run of letters is one word; columns named score or offending are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import WORD_BYTES
+from .common import WORD_BYTES, hash_sample, slices
 
 FIT_POSITIVE, FIT_NEGATIVE = 800, 2000
 #: A word is a term if the log-likelihood ratio of its counts in toxic and other rows is at least this.
 LEAST_EVIDENCE = 18.0
-MAX_TERMS, LEAST_DOCS = 20_000, 3
+LEAST_DOCS = 3
 STEPS, RATE, RIDGE = 300, 0.15, 2e-4
 THRESHOLD = 0.3
 START_BIAS, START_LEAK = -7.0, -4.0
@@ -73,7 +73,9 @@ class Model:
             if len(self.known) >= KNOWN:
                 self.known.clear()
             get = self.weights.get
-            got = self.known[word] = sum(get(t, 0.0) for t in terms_of(word)) if len(word) <= 100 else 0.0
+            got = sum(get(t, 0.0) for t in terms_of(word))
+            if len(word) <= 100:
+                self.known[word] = got
         return got
 
     def score(self, text: bytes | None) -> tuple[float, list[dict]]:
@@ -118,7 +120,7 @@ def fit(rows: Iterator[tuple[bytes, int]], steps: int = STEPS, toxic_share: floa
     row = np.where(y == 1, share / n1, (1 - share) / n0)
 
     def terms_in(words) -> Iterator[bytes]:
-        return (t for w in set(words) if len(w) <= 100 for t in terms_of(w))
+        return (t for w in set(words) for t in terms_of(w))
 
     # Only terms of LEAST_DOCS toxic rows are counted in the others, so what is held follows the toxic rows alone.
     toxic: Counter = Counter()
@@ -131,7 +133,7 @@ def fit(rows: Iterator[tuple[bytes, int]], steps: int = STEPS, toxic_share: floa
         if not label:
             other.update({t for t in terms_in(text.translate(WORD_BYTES).split()) if t in toxic})
     strength = {t: _evidence(c, n1, other[t], n0) for t, c in toxic.items() if c * n0 > 2 * other[t] * n1}
-    terms = sorted((t for t, g in strength.items() if g >= LEAST_EVIDENCE), key=lambda t: (-strength[t], t))[:MAX_TERMS]
+    terms = sorted((t for t, g in strength.items() if g >= LEAST_EVIDENCE), key=lambda t: (-strength[t], t))
     number = {t: i for i, t in enumerate(terms)}
     # Sentences without a term are alike: a bag has its count of them, and the others are instances of their own.
     owner, cols, inst = [], [], []
@@ -173,10 +175,7 @@ def labelled(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> Da
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """At most FIT_POSITIVE + FIT_NEGATIVE rows (text, y); their ids are chosen in ``labels`` and fit a broadcast by that bound."""
     one = labelled(labels, key, label)
-    order = Window.partitionBy("y").orderBy(F.xxhash64("_k"), "_k")
-    # The literal limit is applied before the shuffle too, so few rows of a label meet in a task.
-    ids = one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(FIT_POSITIVE, FIT_NEGATIVE))
-    ids = ids.where("y in (0, 1)").where(F.col("r") <= F.when(F.col("y") == 1, FIT_POSITIVE).otherwise(FIT_NEGATIVE)).select("_k", "y")
+    ids = hash_sample(one.where("y in (0, 1)"), "y", "_k", {1: FIT_POSITIVE, 0: FIT_NEGATIVE}).select("_k", "y")
     usable = docs.select(F.col(key).alias("_d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     return usable.join(F.broadcast(ids), F.col("_d") == F.col("_k")).select("_d", "t", "y")
 
@@ -204,7 +203,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_below: float |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch in batches:
+        for batch in slices(batches, text):
             found = [m.score(t) for t in batch.column(text).cast(pa.binary()).to_pylist()]
             if keep_below is not None:
                 yield batch.filter(pa.array([s < keep_below for s, _ in found], pa.bool_()))

@@ -62,7 +62,7 @@ def corpus(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"TILE": 6, "HEAVY": 3, "LOCAL": 2, "SPLIT": 4, "BROADCAST_IDS": 0, "PART": 5, "PART_ENTRIES": 300}])
+@pytest.mark.parametrize("settings", [{}, {"TILE": 6, "HEAVY": 3, "LOCAL": 2, "SPLIT": 4, "BROADCAST_IDS": 0, "PART": 5, "PART_ENTRIES": 300, "CHUNK_BYTES": 64}])
 def test_components_match_all_pairs(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(components if name == "PART" else ngram_join, name, value)

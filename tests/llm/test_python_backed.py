@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,17 +84,50 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
-def test_automaton_accepts_exactly_the_substrings():
+@pytest.mark.parametrize("cells", [1 << 20, 0])
+def test_automaton_accepts_exactly_the_substrings(cells):
     seq = [1, 2, 1, 1, 2, 3]
-    table = language_id.automaton(seq, 5).reshape(-1, 5)
+    automaton = language_id.Automaton(seq, 5, cells)
     subs = {tuple(seq[i:j]) for i in range(len(seq)) for j in range(i, len(seq) + 1)}
     for n in range(5):
         for code in range(4**n):
             word = tuple(code // 4**k % 4 + 1 for k in range(n))
-            s = 1
+            s = np.ones(1, np.int32)
             for c in word:
-                s = table[s, c] if s else 0
-            assert (s != 0) == (word in subs)
+                s = automaton.next(s, np.array([c], np.int32)) if s[0] else s
+            assert (s[0] != 0) == (word in subs)
+
+
+def brute_language(text, sample):
+    """Cross-parsing with str.find: greedy longest phrases of a text that occur in each sample."""
+    def letters(t):
+        return re.sub(r"[\W\d_]+", " ", t.lower()).lstrip()
+
+    own = letters(text or "")
+    costs = {}
+    for lang, known in sample.items():
+        known = letters(known)[: language_id.SYMBOLS]
+        count, at = 1, 0
+        phrase = ""
+        for c in own:
+            if c in known and phrase + c in known:
+                phrase += c
+                continue
+            count += 1
+            phrase = c if c in known else ""
+        costs[lang] = count * np.log2(len(known) + 2) / max(len(own), 1)
+    return min(sorted(costs), key=costs.get) if own.strip() else "und"
+
+
+def test_predictions_match_plain_parsing():
+    r = random.Random(4)
+    letters = {"a": "abcde", "b": "cdefg", "c": "".join(chr(0x4E00 + i) for i in range(80))}
+    word = lambda x: "".join(r.choice(letters[x]) for _ in range(r.randint(1, 6)))
+    text = lambda x, n: " ".join(word(x) for _ in range(n))
+    sample = {x: text(x, 150) for x in letters}
+    texts = [text(r.choice("abc"), r.randint(1, 400)) for _ in range(25)] + [text("a", 40) + "zz" + text("b", 60), None, "", "12", "q"]
+    got = language_id.Model(sample).predict(texts)[0]
+    assert got == [brute_language(t, sample) for t in texts]
 
 
 # Toxicity
