@@ -18,6 +18,9 @@ single windows, which only equality decides, and equal entries of one batch are
 one task gathers grows with the corpus. Entries travel packed. Texts from which something is removed are chosen by a bitmap of
 content hashes, so texts without repeats are not shuffled. Documents are told apart by their content; equal texts share one result.
 
+Passages of ``PASSAGE`` bytes that repeat, but not for LENGTH bytes, are found by the same construction first; they are counted and
+stay. Only texts that hold such a passage can hold a repeated string of LENGTH bytes, so only those are looked at again.
+
 Defined cases: null text is empty; texts shorter than LENGTH keep all bytes; matches never cross documents; repeated
 rows and null ids are judged by their texts like others; an empty table gives an empty result.
 """
@@ -33,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bcr import repeated_starts
-from .common import bitmap, cut
+from .common import bitmap, cut, slices
 from .ngram_join import mix
 
-LENGTH = 400
-GRAM = 192
+LENGTH, PASSAGE = 400, 256
+#: Anchors have this share of a window's bytes.
+GRAM_SHARE = 0.48
 FINE = 32
 HOT = 20_000
 #: Reads of one construction.
@@ -62,6 +66,11 @@ def content_hash(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _is_set(bits: np.ndarray, number: int) -> bool:
+    p = number % BITS
+    return bool(bits[p // 64] >> (p % 64) & 1)
+
+
 def _hash64(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
 
@@ -97,7 +106,7 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: its number and, for each run of windows with one anchor, first window, last window, anchor's place and hash.
 
     Works through about PIECE bytes at a time; longer texts are taken in pieces that overlap by a window less one byte.
@@ -183,13 +192,13 @@ def _as_runs(e: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(docs: DataFrame, text: str, parts: int, make) -> DataFrame:
-    """Entries of all texts in rows (part, entries). Equal ones of a batch are settled here: one of them goes on and stands
+def _packed(docs: DataFrame, text: str, parts: int, make, among=None) -> DataFrame:
+    """Entries of all texts, or of those whose content's bit is set in ``among``, in rows (part, entries). Equal ones of a batch are settled here: one of them goes on and stands
     for two, and the windows of all go to parts of their own, which are numbered from ``parts`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = make([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t])
+        for batch in slices(batches, text):
+            e = make([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t and (among is None or _is_set(among.value, content_hash(t)[0]))])
             e = e[np.lexsort((e["r"], e["k"]))]
             read, first, count, _ = _runs(e)
             again = _as_runs(e[count[read] > 1])
@@ -278,54 +287,63 @@ def _construction(fine: int, hot: int):
     return decide
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, fine: int = FINE) -> DataFrame:
+def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int | None = None, hot: int = HOT, fine: int = FINE, among=None) -> DataFrame:
     """Windows of ``length`` bytes that start more than once: runs (c1, c2, at, n) by content."""
     spark = docs.sparkSession
+    gram = gram or max(1, int(length * GRAM_SHARE))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # One anchor in about (length - gram + 1) / 2 bytes.
     parts = max(16, -(-int(total) * 2 // ((length - gram + 1) * PART_ENTRIES)))
     place = lambda df: bitmap(df.where("kind = 1").select(F.pmod("k", F.lit(BITS)).alias("p")).distinct(), "p", BITS)
-    every = level = cut(_filed(_packed(docs, text, parts, lambda t: _stretches(t, length, gram)), parts, ENTRY, _open_anchors))
+    every = level = cut(_filed(_packed(docs, text, parts, lambda t: _stretches(t, length, gram), among), parts, ENTRY, _open_anchors))
     if level.where("kind = 1").limit(1).count():
         wanted = spark.sparkContext.broadcast(place(level))
-        level = cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, None)), parts, group_dtype(fine), _construction(fine, hot)))
+        level = cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, None), among), parts, group_dtype(fine), _construction(fine, hot)))
         every = every.unionByName(level)
         if level.where("kind = 1").limit(1).count():
             crowded = spark.sparkContext.broadcast(place(level))
-            every = every.unionByName(cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, crowded.value)), parts, ENTRY, _none_open)))
+            every = every.unionByName(cut(_filed(_packed(docs, text, parts, lambda t: _groups(t, length, gram, fine, wanted.value, crowded.value), among), parts, ENTRY, _none_open)))
     return every.where("kind = 0").select("c1", "c2", "at", "n")
 
 
-def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[int, int, str]:
-    """Bytes removed, spans, and hash of the rest."""
+def _spans(runs: list[dict] | None, length: int) -> list[list[int]]:
+    """The bytes that windows cover, as disjoint spans that do not touch."""
     spans: list[list[int]] = []
     for a, n in sorted((r["at"], r["n"]) for r in runs or ()):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], a + n - 1 + length)
         else:
             spans.append([a, a + n - 1 + length])
+    return spans
+
+
+def _kept(text: bytes, spans: list[list[int]]) -> str:
+    """Hash of the bytes outside the spans."""
     rest, at = sha256(), 0
     for a, b in spans:
         rest.update(memoryview(text)[at:a])
         at = b
     rest.update(memoryview(text)[at:])
-    return sum(b - a for a, b in spans), len(spans), rest.hexdigest()
+    return rest.hexdigest()
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **settings) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans and kept_sha256."""
-    windows = cut(repeated_windows(docs, text, length, **settings).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows.select("c1").distinct().select(F.pmod("c1", F.lit(BITS)).alias("p")), "p", BITS))
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int = PASSAGE, **settings) -> DataFrame:
+    """One row per document: key, n_bytes, n_removed, n_spans and kept_sha256; and n_repeated, the bytes that strings of ``passage`` bytes
+    cover which start anywhere else too, removed or not."""
+    spark = docs.sparkSession
+    short = cut(repeated_windows(docs, text, passage, **settings).distinct())
+    place = lambda df: spark.sparkContext.broadcast(bitmap(df.select("c1").distinct().select(F.pmod("c1", F.lit(BITS)).alias("p")), "p", BITS))
+    with_short = place(short)
+    long = cut(repeated_windows(docs, text, length, among=with_short, **settings).distinct()) if length > passage else short
+    with_long = place(long)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             c1, c2, n, sha, kept = [], [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
                 t = t or b""
                 a, b = content_hash(t)
-                p = a % BITS
-                passed = bool(bits[p // 64] >> (p % 64) & 1)
+                passed = _is_set(with_long.value, a)
                 c1.append(a)
                 c2.append(b)
                 n.append(len(t))
@@ -335,15 +353,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, text).mapInArrow(opened, f"`{key}` {kind}, c1 long, c2 int, n_bytes long, t binary, sha string")
-    runs = windows.groupBy("c1", "c2").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    met = rows.join(runs, ["c1", "c2"], "left").select(key, "n_bytes", "t", "sha", "runs")
+    windows = long.withColumn("whole", F.lit(True)).unionByName(short.withColumn("whole", F.lit(False)))
+    runs = windows.groupBy("c1", "c2").agg(*(F.collect_list(F.when(F.col("whole") == w, F.struct("at", "n"))).alias(c) for w, c in ((True, "runs"), (False, "passages"))))
+    met = rows.join(runs, ["c1", "c2"], "left").select(key, "n_bytes", "t", "sha", "runs", "passages")
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sha, out = batch.column(3).to_pylist(), []
-            for t, s, r in zip(batch.column(2).to_pylist(), sha, batch.column(4).to_pylist(), strict=True):
-                out.append((0, 0, s) if s is not None else _kept(t, r, length))
-            removed, spans, kept = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return met.mapInArrow(closed, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            removed, spans, kept, repeated = [], [], [], []
+            for t, s, r, q in zip(*(batch.column(c).to_pylist() for c in ("t", "sha", "runs", "passages")), strict=True):
+                own = _spans(r, length)
+                removed.append(sum(b - a for a, b in own))
+                spans.append(len(own))
+                kept.append(s if s is not None else _kept(t, own))
+                repeated.append(sum(b - a for a, b in _spans(q, passage)))
+            numbers = [pa.array(x, pa.int64()) for x in (removed, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(kept, pa.string()), pa.array(repeated, pa.int64())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+
+    return met.mapInArrow(closed, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")

@@ -45,8 +45,9 @@ def corpus(seed):
 def test_matches_brute_force_at_every_level(spark, hot):
     texts = corpus(hot)
     rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(texts)]
-    got = suffix_dedup.dedup(spark.createDataFrame(rows, SCHEMA), length=40, gram=16, hot=hot, fine=4).collect()
-    want = Counter((rows[i][0], *x) for i, x in enumerate(brute([(t or "").encode() for t in texts], 40)))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, SCHEMA), length=40, passage=28, gram=16, hot=hot, fine=4).collect()
+    encoded = [(t or "").encode() for t in texts]
+    want = Counter((rows[i][0], *x, y[1]) for i, (x, y) in enumerate(zip(brute(encoded, 40), brute(encoded, 28))))
     assert Counter(tuple(r) for r in got) == want
     assert sum(r["n_removed"] for r in got) > 0
 
