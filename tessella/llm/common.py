@@ -43,6 +43,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, zero: Column, op, chunk: int = 128) -> Column:
+    """For each place of an array that is not empty, ``op`` folded over the values before it. Places are folded in chunks, as appending copies an array."""
+
+    def fold(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def of(values: Column) -> Column:
+        part = lambda c: F.slice(values, c * chunk + 1, F.lit(chunk))
+        totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda c: F.aggregate(part(c), zero, op))
+        return let(fold(totals, zero), lambda starts: F.flatten(F.transform(starts, lambda at, c: fold(part(c), at))))
+
+    return let(values, of)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of doc_id as text is 2 modulo 4; a null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

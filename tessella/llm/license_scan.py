@@ -9,7 +9,8 @@ and nothing is shuffled.
 Base phrases are rules too. They are counted at every place and their labels stay even where a longer detection covers them.
 
 Defined cases: null text is empty: no words, no places, null first and last word, empty labels, score 0. Repeated rows
-are scanned one by one; an empty table gives an empty result; further columns are ignored.
+are scanned one by one; an empty table gives an empty result; columns named n_words or scan are replaced, others carried along; the work
+on a text grows with its length and its matches alone.
 """
 
 from __future__ import annotations
@@ -21,12 +22,35 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, running
 
 #: Fixed values of the base: phrase and label.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 _LICENSE = "licen[cs]ed?"
+#: Identifiers after a machine-readable tag, in normalised words.
+_SPDX = (
+    ("mit", r"mit"), ("apache-2.0", r"apache 2 0"), ("bsd-2-clause", r"bsd 2 clause"), ("bsd-3-clause", r"bsd 3 clause"), ("isc", r"isc"), ("mpl-2.0", r"mpl 2 0"), ("gpl-2", r"gpl 2 0(?: only)?"),
+    ("gpl-2-or-later", r"gpl 2 0 or later"), ("gpl-3", r"gpl 3 0(?: only)?"), ("gpl-3-or-later", r"gpl 3 0 or later"), ("lgpl-2.1", r"lgpl 2 1(?: only| or later)?"), ("lgpl-3", r"lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", r"agpl 3 0(?: only| or later)?"), ("epl-2.0", r"epl 2 0"), ("cc0", r"cc0 1 0"), ("unlicense", r"unlicense"), ("zlib", r"zlib"), ("bsl-1.0", r"bsl 1 0"),
+)
+#: What to call a body, a word that it cannot do without, and a sentence of it in normalised words.
+_BODIES = (
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,12}may be used to endorse or promote products"),
+    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0"),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("zlib", "warranty", r"provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsl-1.0", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("cc0", "waived", r"to the extent possible under law (?:[^ ]+ ){1,8}waived all copyright"),
+    ("proprietary", "reserved", r"all rights reserved (?:no part|unauthori[sz]ed)"),
+)
 #: Families: label, keyword, name in words, versions ("" for none).
 FAMILIES = (
     ("gpl", "gnu", "gnu general public", ("1", "2", "3")),
@@ -105,6 +129,11 @@ def rule_table() -> list[dict]:
     add("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)? (?:public domain|licen[cs]e)", 1, 1.0)
     add("public-domain", "public domain", r"(?:dedicated to|released (?:in)?to|in) the public domain", 3, 0.8)
     add("proprietary", "license", r"(?:subject to|under) (?:a )?(?:proprietary|commercial) license", 3, 0.6)
+    # Hand-written signatures: tags and sentences of license bodies.
+    for label, tag in _SPDX:
+        add(label, "spdx", rf"spdx license identifier {tag}", 0, 1.0)
+    for label, keyword, sentence in _BODIES:
+        add(label, keyword, sentence, 1, 0.95)
     add("unknown", "licensed", r"licensed under(?: the)?", 9, 0.3)
     return rules
 
@@ -115,17 +144,13 @@ _RULE_SCHEMA = "array<struct<id:int,priority:int,label:string,keyword:string,pat
 def _spans(norm: Column, pattern: Column) -> Column:
     """Start and end (from 0) of every match: matches are marked with two control characters, which no normalised text holds."""
     marked = F.split(F.regexp_replace(norm, pattern, F.lit("\x01$0\x02")), "\x01")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
 
-    def step(acc, part):
-        first = (acc["at"] == 0) & (F.instr(part, "\x02") == 0)
-        size = F.instr(part, "\x02") - 1
-        return (
-            F.when(first, F.struct(F.length(part).alias("at"), acc["found"].alias("found")))
-            .otherwise(F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.array_append(acc["found"], F.struct(acc["at"].alias("s"), (acc["at"] + size).alias("e"))).alias("found")))
-        )
+    def spans(parts: Column) -> Column:
+        starts = running(F.transform(parts, lambda p, i: F.length(p) - (i > 0).cast("int")), F.lit(0), lambda a, n: a + n)
+        every = lambda at: F.transform(parts, lambda p, i: F.struct(F.get(at, i).alias("s"), (F.get(at, i) + F.instr(p, "\x02") - 1).alias("e")))
+        return let(starts, lambda at: F.slice(every(at), F.lit(2), F.size(parts)))
 
-    return F.aggregate(marked, zero, step)["found"]
+    return let(marked, spans)
 
 
 def _detections(norm: Column, rules: Column) -> Column:
@@ -139,13 +164,9 @@ def _detections(norm: Column, rules: Column) -> Column:
 
 def _kept(detections: Column) -> Column:
     """Those that lie within no other: swept in order, one is covered if one before it ends no earlier."""
-    kind = "array<struct<s:int,me:int,p:int,id:int,label:string,conf:double,base:boolean>>"
-    zero = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("kept"))
-
-    def step(acc, d):
-        return F.when(acc["end"] >= -d["me"], acc).otherwise(F.struct((-d["me"]).alias("end"), F.array_append(acc["kept"], d).alias("kept")))
-
-    return F.aggregate(detections, zero, step)["kept"]
+    before = running(F.transform(detections, lambda d: -d["me"]), F.lit(-1), lambda a, e: F.greatest(a, e))
+    kept = let(before, lambda ends: F.filter(detections, lambda d, i: F.get(ends, i) < -d["me"]))
+    return F.when(F.size(detections) > 0, kept).otherwise(detections)
 
 
 def scan(docs: DataFrame, text: str = "text", rules: list[dict] | None = None) -> DataFrame:
@@ -189,7 +210,7 @@ def scan(docs: DataFrame, text: str = "text", rules: list[dict] | None = None) -
         return let(_detections(norm, table), of)
 
     return docs.select(
-        *[c for c in docs.columns if c != text],
+        *[c for c in docs.columns if c not in (text, "n_words", "scan")],
         F.regexp_count(t, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
         F.when(let(ascii_lower(t), gate), let(norm, result)).alias("scan"),
     )

@@ -5,7 +5,8 @@ Per document the rule counts are computed inside the row (nothing is exploded).
 host verdict is joined back. The counts are checkpointed between the two, so texts are scanned once.
 
 Defined cases: a null or empty text has no words and fails; a null source is a host of its own; repeated rows are
-judged one by one; an empty table gives an empty result; further columns are ignored.
+judged one by one; an empty table gives an empty result; columns named like a result are replaced, others carried along; texts of any
+length are judged whole, at n log n.
 """
 
 from __future__ import annotations
@@ -20,12 +21,18 @@ MAX_REPEAT_PERCENT = 50
 #: Further document rules that count as failures of the host.
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINE_SHARE = 0.5
-#: A host whose shrunk failure rate is above this is rejected with all its documents.
-HOST_REJECT_RATE = 0.8
+#: A host is rejected with all its documents if its shrunk failure rate is SPREADS standard deviations above the mean of all
+#: hosts and above the first of these rates, or above the second.
+HOST_REJECT_RATES = (0.5, 0.8)
+SPREADS = 4.0
 #: Strength of the prior, in documents, where the hosts' rates do not spread.
 DEFAULT_STRENGTH = 20.0
 
 
+#: Names of results and of helpers; such columns of the input are replaced.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "host_rate", "kept", "_s", "_host")
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found at least twice in the array; sorts windows, so n log n."""
 
@@ -51,8 +58,9 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).cast("long").alias("n_repeat_words")),
     )
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in RESULTS]
     out = docs.select(
-        *[c for c in docs.columns if c != text],
+        *kept,
         stats.alias("_s"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
@@ -66,8 +74,8 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def host_rates(counts: DataFrame, host: str, failed: Column) -> DataFrame:
-    """One row per host: n_docs, n_failed, and rate shrunk by the beta prior of all hosts."""
+def host_rates(counts: DataFrame, host: str, failed: Column) -> tuple[DataFrame, float]:
+    """One row per host: n_docs, n_failed, and rate shrunk by the beta prior of all hosts; and the rate above which a host is rejected."""
     hosts = counts.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
     hosts = cut(hosts)
     rate = F.col("n_failed") / F.col("n_docs")
@@ -75,13 +83,16 @@ def host_rates(counts: DataFrame, host: str, failed: Column) -> DataFrame:
     m, v = m or 0.0, v or 0.0
     strength = m * (1 - m) / v - 1 if v > 0 else DEFAULT_STRENGTH
     strength = min(max(strength, 1.0), 1e6)
-    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength)))
+    low, high = HOST_REJECT_RATES
+    shrunk = hosts.withColumn("rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength)))
+    return shrunk, min(high, max(low, m + SPREADS * v**0.5))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", reject_rate: float | None = None) -> DataFrame:
     """``docs`` without its text, with the counts, base_failed, host_rate and kept."""
     counts = cut(rule_counts(docs, text))
     failed = F.col("base_failed") | (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines"))
-    hosts = host_rates(counts, host, failed).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"))
-    judged = counts.join(hosts, counts[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= reject_rate))
+    rates, limit = host_rates(counts, host, failed)
+    hosts = rates.select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"))
+    judged = counts.join(hosts, counts[host].eqNullSafe(F.col("_host")), "left").drop("_host")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= (limit if reject_rate is None else reject_rate)))
