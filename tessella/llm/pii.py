@@ -4,18 +4,22 @@ Candidates are found by one pattern and validated: Luhn for card numbers, octet
 rules for social security numbers, remainder 97 for IBANs. If a card or IBAN candidate fails, the runs of its tokens are tried, the longest
 first, and then the search goes on one token later. A valid value is numbered within all values of its
 format, the number is permuted by a keyed Feistel network with cycle walking, and the result is written in the same format. So
-equal values have equal pseudonyms in every document, with or without separators, different values have different
-ones, and a text keeps its length. With the key the permutation can be undone.
+equal values have equal pseudonyms in every document, whatever separators or order of parts they are written with, different values
+have different ones, and a text keeps its length: days of a calendar are permuted among those whose day and month have as
+many digits, and phone numbers without their country code. With the key the permutation can be undone. The key is the session's setting
+``spark.tessella.pseudonymKey``; KEY serves tests and sessions that name none.
 
 Everything happens inside the row; texts without a digit or ``@`` are passed on after one scan of their bytes.
 
 Defined cases: null text stays null and empty text empty, with no values found; values that fail their check are left alone; repeated
-rows are treated one by one; further columns are carried along.
+rows are treated one by one; texts of any length are treated whole; an empty table gives an empty result; columns named n_<kind> are
+replaced if counts are asked for, others carried along.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from calendar import monthrange
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -30,7 +34,7 @@ KEY = b"tessella pseudonyms 1"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
-KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
+KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret", "token", "ip6")
 
 #: One alternative per kind; the first that matches at a place is validated.
 _PATTERN = re.compile(
@@ -39,12 +43,16 @@ _PATTERN = re.compile(
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\6[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\7[0-9]{4})(?![0-9]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<ssn>(?<![0-9-])(?<![0-9] )[0-9]{3}([- ])[0-9]{2}\9[0-9]{4}(?![0-9-])(?! [0-9]))"
     r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
+    r"|(?P<token>(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,})(?![0-9A-Za-z]))"
+    r"|(?P<ip6>(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))"
 )
 #: Kinds whose candidates run over spaces or hyphens into what stands beside a value: a token, and the characters a value may have.
 _TOKENS = {"card": (re.compile("[0-9]+"), " -", 13, 19), "iban": (re.compile("[0-9A-Z]+"), " ", 15, 34)}
+#: Country calling codes of one and of two digits; all others have three.
+_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _MORE = re.compile("[ -][0-9]")
 _IBAN_START = re.compile("[A-Z]{2}[0-9]{2}")
 _DIGITS = b"0123456789@"
@@ -80,6 +88,20 @@ def _refill(shape: str, symbols: str, part: Callable[[str], bool]) -> str:
     return "".join(next(it) if part(c) else c for c in shape)
 
 
+@lru_cache(1)
+def _calendar() -> dict[tuple[int, int], list[date]]:
+    """All days by how their day and month are written: of one digit, of two up to twelve, or (days only) beyond, which no month can be."""
+    out: dict[tuple[int, int], list[date]] = {}
+    for x in range((LAST_DAY - FIRST_DAY).days + 1):
+        day = FIRST_DAY + timedelta(days=x)
+        out.setdefault(_written(day), []).append(day)
+    return out
+
+
+def _written(day: date) -> tuple[int, int]:
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
 class Pseudonyms:
     """One method per kind: the pseudonym of a value, or None if the value is not valid."""
 
@@ -105,13 +127,14 @@ class Pseudonyms:
         return _refill(value, new + str(luhn_digit(new)), str.isdigit)
 
     def phone(self, value: str) -> str | None:
-        head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-        body = value[head.end() :] if head else value
-        digits = re.sub("[^0-9]", "", body)
-        if not 7 <= len(digits) <= 15:
+        """The number without its country code, which is told from the digits alone, so that all ways to write it agree."""
+        digits = re.sub("[^0-9]", "", value)
+        code = next((n for n in (1, 2) if digits[:n] in _CODES), 3) if value[0] == "+" else 0
+        own = digits[code:]
+        if not 7 <= len(own) <= 15:
             return None
-        new = str(self._walk(int(digits), 10 ** len(digits), f"phone{len(digits)}")).zfill(len(digits))
-        return value[: len(value) - len(body)] + _refill(body, new, str.isdigit)
+        new = digits[:code] + str(self._walk(int(own), 10 ** len(own), f"phone{len(own)}")).zfill(len(own))
+        return _refill(value, new, str.isdigit)
 
     def ip(self, value: str) -> str | None:
         """Within the addresses whose octets have as many digits each, so that the text keeps its length."""
@@ -134,11 +157,11 @@ class Pseudonyms:
         def valid(x: int) -> bool:
             return 0 < x // 1_000_000 < 900 and x // 1_000_000 != 666 and x // 10_000 % 100 > 0 and x % 10_000 > 0
 
-        x = int(value.replace("-", ""))
+        x = int(re.sub("[- ]", "", value))
         return _refill(value, str(self._walk(x, 10**9, "ssn", valid)).zfill(9), str.isdigit) if valid(x) else None
 
     def date(self, value: str) -> str | None:
-        """Day, month and year are put back in the order read; a day of one digit goes to days written that way."""
+        """Day, month and year are put back in the order read; days that only a month-first reading allows stay such days."""
         parts = re.split("[-/.]", value)
         year_first = len(parts[0]) == 4
         orders = [(0, 1, 2)] if year_first else [(2, 1, 0), (2, 0, 1)]  # day first unless only the month can come first
@@ -148,19 +171,11 @@ class Pseudonyms:
                 break
         else:
             return None
-        widths = [len(p) for p in parts]
-
-        def text(x: int) -> list[str] | None:
-            day = FIRST_DAY + timedelta(days=x)
-            at = {order[0]: str(day.year), order[1]: str(day.month), order[2]: str(day.day)}
-            out = [at[i].zfill(w) for i, w in enumerate(widths)]
-            if [len(o) for o in out] != widths or (order == (2, 0, 1) and day.day <= 12):
-                return None  # does not fit, or would be read day first
-            return out
-
-        size = (LAST_DAY - FIRST_DAY).days + 1
-        x = self._walk((date(y, m, d) - FIRST_DAY).days, size, "date", lambda x: text(x) is not None)
-        return _refill(value, "".join(text(x) or ()), str.isdigit)
+        kind = _written(date(y, m, d))
+        days = _calendar()[kind]
+        new = days[self._walk(bisect_left(days, date(y, m, d)), len(days), f"date{kind}")]
+        at = {order[0]: str(new.year), order[1]: str(new.month), order[2]: str(new.day)}
+        return _refill(value, "".join(at[i].zfill(len(parts[i])) for i in range(3)), str.isdigit)
 
     def iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")
@@ -193,6 +208,19 @@ class Pseudonyms:
         local, _, domain = value.rpartition("@")
         return f"{self._mixed(local, 'email')}@{domain}"
 
+    def token(self, value: str) -> str | None:
+        """Access keys with a known beginning, which stays."""
+        head = re.match("AKIA|gh[pousr]_|sk-|xox[abprs]-", value).group()
+        return head + self._mixed(value[len(head) :], "token" + head)
+
+    def ip6(self, value: str) -> str | None:
+        """Addresses written in full, in small or capital letters."""
+        plain, sizes = value.replace(":", ""), "".join(str(len(x)) for x in value.split(":"))
+        if not (value == value.lower() or value == value.upper()):
+            return None
+        new = f"{self._walk(int(plain, 16), 16 ** len(plain), 'ip6' + sizes):0{len(plain)}x}"
+        return _refill(value, new.upper() if value != value.lower() else new, lambda c: c != ":")
+
     def secret(self, value: str) -> str | None:
         """Hexadecimal keys with digits and letters of one case."""
         if value.isdigit() or value.isalpha() or not (value == value.lower() or value == value.upper()):
@@ -245,8 +273,9 @@ class Pseudonyms:
         return start, end, None, spans[1][0] if len(spans) > 1 and spans[1][0] < end else end
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY, counts: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None, counts: bool = True) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and, with counts, one column n_<kind> per kind."""
+    key = key or (docs.sparkSession.conf.get("spark.tessella.pseudonymKey", None) or KEY.decode()).encode()
     kept = docs.drop(*[f"n_{k}" for k in KINDS]) if counts else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, license_scan, mixing, ngram_join, pii, quality_rules, suffix_dedup, toxicity, url_filter
 from .common import held_out, table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {}
