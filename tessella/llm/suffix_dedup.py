@@ -28,12 +28,14 @@ rows and null ids are judged by their texts like others; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .bcr import repeated_starts
 from .common import bitmap, cut, slices
@@ -41,7 +43,7 @@ from .ngram_join import mix
 
 LENGTH, PASSAGE = 400, 256
 #: Anchors have this share of a window's bytes.
-GRAM_SHARE = 0.48
+GRAM_SHARE = 0.5
 FINE = 32
 HOT = 20_000
 #: Reads of one construction.
@@ -72,38 +74,45 @@ def _is_set(bits: np.ndarray, number: int) -> bool:
 
 
 def _hash64(data: bytes) -> int:
-    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
+    return xxh3_64_intdigest(data)
+
+
+_POWER = 0xD6E8FEB86659FD93
+#: Bits of a value in which the place of a least hash is kept.
+_PLACE = 22
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and those of its inverse."""
+    out = []
+    for x in (_POWER, pow(_POWER, -1, 1 << 64)):
+        steps = np.full(n + 1, x, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
 
 
 def _gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
-    """Hashes of all strings of ``gram`` bytes, by doubling."""
-    cur, power, size = _BYTE[a], _U(0xD6E8FEB86659FD93), 1
-    out, done = None, 0
-    while True:
-        if gram & size:
-            part = cur[done : done + len(a) - gram + 1]
-            out = part if out is None else out * power + part
-            done += size
-        if size * 2 > gram:
-            return mix(out)
-        cur = cur[: len(cur) - size] * power + cur[size:]
-        power, size = power * power, size * 2
+    """Hashes of all strings of ``gram`` bytes, as differences of a running sum."""
+    up, down = _powers(1 << max(len(a), PIECE).bit_length())
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
+    return mix((total[gram:] - total[: len(total) - gram]) * down[: len(total) - gram])
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
-    """For each place, where the least of the next ``width`` values is, the first if tied."""
-    place, size = np.arange(len(v), dtype=np.int32), 1
-
-    def pair(v, place, step, n):
-        later = v[step : step + n] < v[:n]
-        return np.where(later, v[step : step + n], v[:n]), np.where(later, place[step : step + n], place[:n])
-
-    while size * 2 <= width:
-        v, place = pair(v, place, size, len(v) - size)
-        size *= 2
-    if size < width:
-        v, place = pair(v, place, width - size, len(v) - (width - size))
-    return place
+    """For each place, where the least of the next ``width`` values is, the first if tied; values count without their last _PLACE bits."""
+    n = len(v) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = _U((1 << _PLACE) - 1)
+    w = np.full(-(-len(v) // width) * width, _U(0xFFFFFFFFFFFFFFFF))
+    w[: len(v)] = (v & ~low) | np.arange(len(v), dtype=np.uint64)
+    blocks = w.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
 def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
