@@ -43,13 +43,8 @@ def summary(engine: DataFrame, oracle: DataFrame, by: str, keys: list[str]) -> D
 
 
 def positional(left: DataFrame, right: DataFrame, by: str, row: str) -> DataFrame:
-    """Per ``by``: equal after sorting both lists, by position. Rows must be orderable."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy(by).orderBy(row)
-    number = lambda df, name: df.select(by, F.row_number().over(order).alias("at"), F.col(row).alias(name))
-    both = number(left, "x").join(number(right, "y"), [by, "at"], "full")
-    return both.groupBy(by).agg(F.min(F.col("x").eqNullSafe(F.col("y"))).alias("equal"))
+    """Per ``by``: equal position by position after sorting both lists, which is to have every row equally often; nothing is sorted."""
+    return multiplicities(left, right, [by, row]).groupBy(by).agg(F.min(F.col("n_left") == F.col("n_right")).alias("equal"))
 
 
 def search_report(counters: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from tessella.functions import edges as E
 
 from .combine import count_triangulations
 
-MAX_CYCLE = 36
+#: Digits of a count.
+DIGITS = 38
 
 
 @lru_cache(None)
@@ -47,14 +48,12 @@ def is_cycle_pair(faces):
 
 def count_graphs(graphs: DataFrame) -> DataFrame:
     """graph_id and triangulations, by closed form for pairs of one cycle and by masks for all others."""
-    sizes = graphs.sparkSession.createDataFrame([(n, str(cycle_pairs(n))) for n in range(3, MAX_CYCLE + 1)], "n int, t string")
     cycles = graphs.where(is_cycle_pair(F.col("faces"))).select("graph_id", F.size(F.get("faces", F.lit(0))).alias("n"))
+    counts = {r["n"]: cycle_pairs(r["n"]) for r in cycles.select("n").distinct().collect()}  # a row for each size that occurs
+    too_large = [n for n, c in counts.items() if c >= 10**DIGITS]
+    if too_large:
+        raise ValueError(f"pairs of cycles of {min(too_large)} vertices have more triangulations than {DIGITS} digits tell")
+    sizes = graphs.sparkSession.createDataFrame([(n, str(c)) for n, c in counts.items()], "n int, t string")
     closed = cycles.join(F.broadcast(sizes), "n", "left").select("graph_id", F.col("t").cast("decimal(38,0)").alias("triangulations"))
     return closed.unionByName(count_triangulations(graphs.where(~is_cycle_pair(F.col("faces")))))
 
-
-def count_by_components(graphs: DataFrame, per_face: DataFrame) -> DataFrame:
-    """For graphs whose faces share no candidate chord: the product of the faces' own counts (graph_id, c), 0 if one has none."""
-    product = F.aggregate(F.collect_list("c"), F.lit(1).cast("decimal(38,0)"), lambda acc, c: (acc * c).cast("decimal(38,0)"))
-    found = per_face.groupBy("graph_id").agg(product.alias("triangulations"))
-    return graphs.select("graph_id").join(found, "graph_id", "left").select("graph_id", F.coalesce("triangulations", F.lit(0)).cast("decimal(38,0)").alias("triangulations"))

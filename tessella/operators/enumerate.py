@@ -6,7 +6,8 @@ the n-gon has been made exactly once, so nothing is deduplicated, and the steps
 
 Constraints are applied to the step's new chords, so whole subtrees of an invalid choice are never made: a chord that joins equal
 labels, is an edge of the graph (both looked up in one table per face), or (in a closed walk) is already a chord of the face.
-Intervals are whole numbers, i * 64 + j, and a step is two projections, which keeps rows and plans small.
+Intervals are whole numbers, i * 4096 + j, and a step is two projections, which keeps rows and plans small. Faces of any size are
+taken: what is made follows what is valid. Every CUT_STEPS steps of a large face the state is checkpointed, which bounds the plan.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import edges as E
+from tessella.session import shared_folder
 
-#: Largest face that is made in rows; larger ones have more than 9 million triangulations.
-MAX_FACE = 17
+#: Largest face whose intervals can be numbered.
+LARGEST = 4095
+CUT_STEPS = 16
 #: Rows are spread over the cluster after this step when faces are at least this large: one face starts as one row.
-SPREAD_STEP, SPREAD_SIZE = 4, 12
+SPREAD_STEP, SPREAD_SIZE = 4, 11
 
 
 def explode_faces(graphs: DataFrame) -> DataFrame:
@@ -27,11 +30,6 @@ def explode_faces(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.size("faces").alias("n_faces"), F.posexplode("faces").alias("face_id", "face")).withColumn("n", F.size("face"))
 
 
-def faces_with_boundary(graphs: DataFrame) -> DataFrame:
-    """Faces with the edges of their graph."""
-    return graphs.withColumn("present", E.boundary(F.col("faces"))).select("graph_id", "present", F.size("faces").alias("n_faces"), F.posexplode("faces").alias("face_id", "face")).withColumn("n", F.size("face"))
-
-
 def repeats(face: Column) -> Column:
     """A closed walk that comes to a vertex twice."""
     return F.size(F.array_distinct(face)) < F.size(face)
@@ -53,8 +51,8 @@ def triangulate_faces(faces: DataFrame, largest: int | None = None, constrained:
         found = bounds(faces)
         largest = found[0] if largest is None else largest
         walks = found[1] if walks is None else walks
-    if largest > MAX_FACE:
-        raise ValueError(f"a face of {largest} vertices has too many triangulations for rows; use counting instead")
+    if largest > LARGEST:
+        raise ValueError(f"a face has {largest} vertices; intervals are numbered up to {LARGEST}")
     walks = bool(walks) and constrained
     keep = [c for c in faces.columns if c != "present"]
     n = F.col("n")
@@ -68,29 +66,26 @@ def triangulate_faces(faces: DataFrame, largest: int | None = None, constrained:
         state = _step(state, keep, constrained, walks)
         if level + 1 == SPREAD_STEP and largest >= SPREAD_SIZE:
             state = state.repartition(F.col("graph_id"), F.col("face_id"), F.xxhash64("_made"))
-    chords = F.array_sort(F.transform("_made", lambda c: label(F.shiftright(c, 6), c.bitwiseAND(63))))
-    index = F.transform(F.array_sort("_made"), lambda c: F.struct(F.shiftright(c, 6).alias("i"), c.bitwiseAND(63).cast("int").alias("j")))
+        if (level + 1) % CUT_STEPS == 0 and level + 1 < largest - 2:
+            shared_folder(state.sparkSession)
+            state = state.checkpoint()
+    chords = F.array_sort(F.transform("_made", lambda c: label(F.shiftright(c, 12), c.bitwiseAND(4095))))
+    index = F.transform(F.array_sort("_made"), lambda c: F.struct(F.shiftright(c, 12).alias("i"), c.bitwiseAND(4095).cast("int").alias("j")))
     return state.select(*keep, chords.alias("chords"), index.alias("index_chords"))
 
 
 def _step(state: DataFrame, keep: list[str], constrained: bool, walks: bool) -> DataFrame:
     kept = [f"`{c}`" for c in keep]
     hold = [*kept, "_ok", "_first", "_made", "_used"]
-    split = state.selectExpr(*hold, "_open", "CAST(IF(size(_open) = 0, 0, shiftright(_open[0], 6)) AS int) AS _i", "CAST(IF(size(_open) = 0, 0, _open[0] & 63) AS int) AS _j")
+    split = state.selectExpr(*hold, "_open", "CAST(IF(size(_open) = 0, 0, shiftright(_open[0], 12)) AS int) AS _i", "CAST(IF(size(_open) = 0, 0, _open[0] & 4095) AS int) AS _j")
     grown = split.selectExpr(*hold, "_i", "_j", "IF(size(_open) = 0, _open, slice(_open, 2, size(_open))) AS _rest", "explode(IF(size(_open) = 0, array(-1), sequence(_i + 1, _j - 1))) AS _k")
     test = "(_k < 0 OR ((_k - _i < 2 OR _ok[_i * n + _k]) AND (_j - _k < 2 OR _ok[_k * n + _j])))" if constrained else "true"
-    new = "concat(IF(_k >= 0 AND _k - _i >= 2, array(_i * 64 + _k), CAST(array() AS array<int>)), IF(_k >= 0 AND _j - _k >= 2, array(_k * 64 + _j), CAST(array() AS array<int>)))"
+    new = "concat(IF(_k >= 0 AND _k - _i >= 2, array(_i * 4096 + _k), CAST(array() AS array<int>)), IF(_k >= 0 AND _j - _k >= 2, array(_k * 4096 + _j), CAST(array() AS array<int>)))"
     out = grown.where(test).selectExpr(*hold, f"{new} AS _new", "_rest")
     used = "_used"
     if walks:
-        marks = "transform(_new, c -> least(_first[shiftright(c, 6)], _first[c & 63]) * 64 + greatest(_first[shiftright(c, 6)], _first[c & 63]))"
+        marks = "transform(_new, c -> least(_first[shiftright(c, 12)], _first[c & 4095]) * 4096 + greatest(_first[shiftright(c, 12)], _first[c & 4095]))"
         out = out.selectExpr(*hold, "_rest", "_new", f"{marks} AS _marks").where("NOT arrays_overlap(_marks, _used) AND size(array_distinct(_marks)) = size(_marks)")
         used = "concat(_used, _marks) AS _used"
     return out.selectExpr(*kept, "_ok", "_first", "concat(_new, _rest) AS _open", "concat(_made, _new) AS _made", used)
 
-
-def catalan(n: Column) -> Column:
-    """Triangulations of an n-gon as BIGINT, by the product formula; 1 for n <= 3."""
-    m = F.greatest(n - 2, F.lit(1))
-    steps = F.when(m > 1, F.sequence(F.lit(1), m - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(1).cast("long"), lambda acc, k: F.floor(acc * (2 * (2 * k + 1)) / (k + 2)).cast("long"))

@@ -121,6 +121,8 @@ SELECT g AS graph_id, CAST(n_faces AS INTEGER) AS n_faces, CAST(n_vertices AS IN
     "cycle_pair_count": f"SELECT CAST(n AS INTEGER) AS n, CAST(triangulations AS BIGINT) AS triangulations FROM (VALUES {_CYCLES}) v(n, triangulations)",
     "search_counters": f"SELECT graph_id, CAST(r AS BIGINT) AS results, CAST(c AS BIGINT) AS checks, CAST(s AS BIGINT) AS successful, CAST(i AS BIGINT) AS invalid, CAST(r + i AS BIGINT) AS traversals FROM (VALUES {_COUNTERS}) v(graph_id, r, c, s, i)",
     "bag_compare_report": _WALK_BAGS + "\nSELECT graph_id, row, 'MATCH' AS label, least(l, r) AS n FROM m WHERE least(l, r) > 0 UNION ALL SELECT graph_id, row, 'EXTRA', l - r FROM m WHERE l > r UNION ALL SELECT graph_id, row, 'MISSING', r - l FROM m WHERE r > l",
+    "diff_report_lines": _WALK_BAGS + """, d AS (SELECT row, 'MATCH' AS label, least(l, r) AS n FROM m UNION ALL SELECT row, 'EXTRA', l - r FROM m UNION ALL SELECT row, 'MISSING', r - l FROM m)
+SELECT '[' || label || '] ' || row AS value FROM d, unnest(range(0, CAST(n AS BIGINT))) WHERE n > 0 UNION ALL SELECT '[STATUS] MISMATCHED'""",
     "match_status": _WALK_BAGS + """
 SELECT graph_id, CAST(sum(l) AS BIGINT) AS engine_total, CAST(sum(r) AS BIGINT) AS oracle_total, CAST(sum(least(l, r)) AS BIGINT) AS matches, CAST(sum(greatest(l - r, 0)) AS BIGINT) AS extra, CAST(sum(greatest(r - l, 0)) AS BIGINT) AS missing,
 round(CASE WHEN sum(r) <> 0 THEN sum(l) / sum(r) ELSE 0 END, 4) AS ratio, CASE WHEN sum(greatest(r - l, 0)) = 0 THEN 'MATCHED' ELSE 'MISMATCHED' END AS contained, CASE WHEN sum(abs(r - l)) = 0 THEN 'MATCHED' ELSE 'MISMATCHED' END AS equal FROM m GROUP BY graph_id""",
@@ -141,14 +143,18 @@ SELECT CAST(n AS INTEGER) AS n, array_to_string(c, ' ') AS degrees, count(*) AS
     "bench_stats_by_order": f"SELECT l_orderkey, count(l_extendedprice) AS runs, {_STATS.format('l_extendedprice')} FROM lineitem GROUP BY l_orderkey",
     "run_results": """WITH r AS (SELECT l_orderkey, CAST(floor(l_extendedprice * 1000) AS BIGINT) * 840 / 1e9 AS s, CAST(trunc(l_discount * 100000) AS BIGINT) - CAST(trunc(l_quantity * 100) AS BIGINT) AS grown FROM lineitem)
 SELECT 'order-' || l_orderkey AS filename, CAST(l_orderkey % 7 AS INTEGER) AS vertices, l_orderkey % 11 AS triangulations, round(avg(s), 9) AS meanTime, round(median(s), 9) AS medianTime, round(min(s), 9) AS minTime, round(max(s), 9) AS maxTime,
-round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, max(greatest(grown, 0)) AS peakMemory, round(CASE WHEN l_orderkey % 7 <> 0 THEN max(greatest(grown, 0)) / (l_orderkey % 7) ELSE 0 END, 4) AS memoryPerVertex FROM r GROUP BY l_orderkey""",
+round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, round_even(CASE WHEN l_orderkey % 11 <> 0 THEN avg(s) * 1e9 / (l_orderkey % 11) ELSE 0 END, 0) AS perTriangNs, max(greatest(grown, 0)) AS peakMemory, round(CASE WHEN l_orderkey % 7 <> 0 THEN max(greatest(grown, 0)) / (l_orderkey % 7) ELSE 0 END, 4) AS memoryPerVertex FROM r GROUP BY l_orderkey""",
+    "results_csv_round_trip": """WITH r AS (SELECT l_orderkey, CAST(floor(l_extendedprice * 1000) AS BIGINT) * 840 / 1e9 AS s, CAST(trunc(l_discount * 100000) AS BIGINT) - CAST(trunc(l_quantity * 100) AS BIGINT) AS grown FROM lineitem)
+SELECT 'order-' || l_orderkey AS filename, CAST(l_orderkey % 7 AS INTEGER) AS vertices, l_orderkey % 11 AS triangulations, round(avg(s), 9) AS meanTime, round(median(s), 9) AS medianTime, round(min(s), 9) AS minTime, round(max(s), 9) AS maxTime,
+round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, max(greatest(grown, 0)) AS peakMemory FROM r GROUP BY l_orderkey""",
     "per_item_cost": "SELECT o_orderkey, round(CASE WHEN items > 0 THEN o_totalprice / items ELSE 0 END, 6) AS cost FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "success_rates": "SELECT o_orderpriority, count(*) AS checks, count(*) FILTER (o_orderstatus = 'F') AS successful, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS rate FROM orders GROUP BY 1",
     "loglog_regression": f"WITH {_TOTALS}, {_LAW} SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM law",
     "regression_envelope": f"WITH {_TOTALS}, {_LAW} SELECT round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(max(y / pow(10, intercept + slope * log10(x))), 4) AS upper, round(min(y / pow(10, intercept + slope * log10(x))), 4) AS lower FROM o, law WHERE x > 0 AND y > 0 GROUP BY slope, intercept",
-    "resume_skip": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "resume_skip": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "first_record_wins": "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1",
     "incremental_cost": f"{_TRACE} SELECT user_id, event_id, n, elapsed, incremental, running, running // n AS cumulative_avg FROM c",
+    "stream_running_cost": f"{_TRACE} SELECT CAST(user_id AS VARCHAR) AS graph_id, n, elapsed, incremental, running // n AS cumulative_avg FROM c",
     "first_n_with_final": f"{_TRACE}, f AS (SELECT user_id, max_by(running // n, n) AS final, max(n) AS total FROM c GROUP BY 1) SELECT c.user_id, n, running // n AS cumulative_avg, final, total FROM c JOIN f ON f.user_id = c.user_id WHERE n <= 5",
     "smoothed_mean": f"{_DAYS} SELECT day, round(mean, 6) AS mean, round(avg(mean) OVER (ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS mean_smooth FROM d",
     "smoothed_envelope": f"{_DAYS} SELECT day, round(avg(mean) OVER w, 6) AS mean, round(avg(mean + dev) OVER w, 6) AS upper, round(avg(mean - dev) OVER w, 6) AS lower FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from tessella.functions import fmt
 from tessella.model import GRAPHS
 from tessella.operators import benchstats, combine, compare, counting, fliptree, series, trace_mode
 from tessella.operators.enumerate import explode_faces, triangulate_faces
-from tessella.session import share_package
+from tessella.session import share_package, shared_folder
 from tessella.sources import graphs as source
+from tessella.sources import results, sinks
+from tessella.streaming import traces
 
 #: Inline graphs: biconnected ones, and closed walks that repeat vertices.
 FIXTURES = {
@@ -251,7 +254,28 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 100).cast("long").alias("mem_before"), (F.col("l_discount") * 100000).cast("long").alias("mem_after"), F.pmod("l_orderkey", F.lit(7)).cast("int").alias("vertices"), F.pmod("l_orderkey", F.lit(11)).alias("triangulations"),
     )
     out = benchstats.results(runs)
-    return out.select("filename", "vertices", F.col("triangulations").cast("long").alias("triangulations"), "meanTime", "medianTime", "minTime", "maxTime", "stddevTime", "peakMemory", F.round("memoryPerVertex", 4).alias("memoryPerVertex"))
+    return out.select("filename", "vertices", F.col("triangulations").cast("long").alias("triangulations"), "meanTime", "medianTime", "minTime", "maxTime", "stddevTime", "perTriangNs", "peakMemory", F.round("memoryPerVertex", 4).alias("memoryPerVertex"))
+
+
+def results_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results written as one CSV file and read again."""
+    path = f"{shared_folder(spark)}/results-{uuid4().hex}"
+    sinks.rewrite_csv(run_results(spark, sf_dir), path)
+    return results.read_results(spark, path).withColumn("triangulations", F.col("triangulations").cast("long"))
+
+
+def diff_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, oracle = _bags(spark)
+    return sinks.diff_lines(compare.bag_diff(engine, oracle, ["graph_id", "row"]), "MISMATCHED")
+
+
+def stream_running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files of a stream, taken up by the stateful running cost and read back."""
+    share_package(spark)
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    _user_trace(spark, sf_dir).select(F.col("user_id").cast("string").alias("graph_id"), "elapsed").write.parquet(f"{folder}/in")
+    traces.run_available(traces.running_costs(traces.read_events(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
 
 
 def per_item_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +304,7 @@ def regression_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return benchstats.resume(table(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -354,7 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         face_edges, boundary_edges, boundary_multiplicity, face_profile, rotated_faces, safe_root_high, safe_root_low, root_fan, parse_graph_text,
         face_triangulations, face_triangulation_count, triangulate_graph, triangulate_fixtures, triangulate_count, triangulate_closed_walk, bruteforce_triangulations, count_graphs, cycle_pair_count, search_counters,
         bag_compare_report, match_status, positional_equal, flip_neighbors, flip_parent, flip_children, flip_depth_histogram, valid_generating_sets, degree_sequences,
-        bench_stats, bench_stats_by_order, run_results, per_item_cost, success_rates, loglog_regression, regression_envelope, resume_skip, first_record_wins,
+        bench_stats, bench_stats_by_order, run_results, per_item_cost, success_rates, loglog_regression, regression_envelope, resume_skip, first_record_wins, results_csv_round_trip, diff_report_lines, stream_running_cost,
         incremental_cost, first_n_with_final, smoothed_mean, smoothed_envelope, format_bytes, strip_ansi, stem_name, wall_clock, parse_count,
     )
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +17,15 @@ def share_package(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _HERE not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_HERE, *filter(None, paths)])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a private one only where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()

@@ -10,6 +10,7 @@ from tessella.operators import combine, compare, counting, fliptree
 from tessella.operators.enumerate import explode_faces, triangulate_faces
 from tessella.plans import generators as G
 
+#: Graphs and their numbers of triangulations.
 GOLDEN = {
     "square": ([[1, 2, 3, 4]] * 2, 2),
     "pentagon": ([[1, 2, 3, 4, 5]] * 2, 10),
@@ -92,3 +93,24 @@ def test_bag_diff_labels(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",)], "t string")
     b = spark.createDataFrame([("x",), ("z",)], "t string")
     assert {(r["t"], r["label"], r["n"]) for r in compare.bag_diff(a, b, ["t"]).collect()} == {("x", "MATCH", 1), ("x", "EXTRA", 1), ("y", "EXTRA", 1), ("z", "MISSING", 1)}
+
+
+def test_large_faces_are_rows_where_few_triangulations_are_valid(spark):
+    from tessella.functions import edges as E
+
+    n = 20
+    taken = [[i, j, 2] for i in range(3, n) for j in range(i + 2, n + 1)]  # all chords but those of vertex 1
+    graphs = spark.createDataFrame([("fan", [list(range(1, n + 1)), *taken]), ("square", [[1, 2, 3, 4]])], "graph_id string, faces array<array<int>>")
+    faces = graphs.withColumn("present", E.boundary(F.col("faces"))).select("graph_id", "present", F.posexplode("faces").alias("face_id", "face")).where("face_id = 0").withColumn("n", F.size("face"))
+    got = {}
+    for r in triangulate_faces(faces).collect():
+        got.setdefault(r["graph_id"], []).append(sorted((c["a"], c["b"]) for c in r["chords"]))
+    assert got["fan"] == [[(1, k) for k in range(3, n)]] and sorted(got["square"]) == [[(1, 3)], [(2, 4)]]
+
+
+def test_counts_of_large_cycles_are_whole_or_refused(spark):
+    graphs = lambda n: spark.createDataFrame([("g", G.cycle_pair(n)), ("h", G.cycle_pair(5))], "graph_id string, faces array<array<int>>")
+    largest = max(n for n in range(20, 60) if counting.cycle_pairs(n) < 10**38)
+    assert {r["graph_id"]: int(r["triangulations"]) for r in counting.count_graphs(graphs(largest)).collect()} == {"g": counting.cycle_pairs(largest), "h": counting.cycle_pairs(5)}
+    with pytest.raises(ValueError):
+        counting.count_graphs(graphs(largest + 1))
