@@ -143,7 +143,7 @@ SELECT CAST(n AS INTEGER) AS n, array_to_string(c, ' ') AS degrees, count(*) AS
     "bench_stats_by_order": f"SELECT l_orderkey, count(l_extendedprice) AS runs, {_STATS.format('l_extendedprice')} FROM lineitem GROUP BY l_orderkey",
     "run_results": """WITH r AS (SELECT l_orderkey, CAST(floor(l_extendedprice * 1000) AS BIGINT) * 840 / 1e9 AS s, CAST(trunc(l_discount * 100000) AS BIGINT) - CAST(trunc(l_quantity * 100) AS BIGINT) AS grown FROM lineitem)
 SELECT 'order-' || l_orderkey AS filename, CAST(l_orderkey % 7 AS INTEGER) AS vertices, l_orderkey % 11 AS triangulations, round(avg(s), 9) AS meanTime, round(median(s), 9) AS medianTime, round(min(s), 9) AS minTime, round(max(s), 9) AS maxTime,
-round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, round_even(CASE WHEN l_orderkey % 11 <> 0 THEN avg(s) * 1e9 / (l_orderkey % 11) ELSE 0 END, 0) AS perTriangNs, max(greatest(grown, 0)) AS peakMemory, round(CASE WHEN l_orderkey % 7 <> 0 THEN max(greatest(grown, 0)) / (l_orderkey % 7) ELSE 0 END, 4) AS memoryPerVertex FROM r GROUP BY l_orderkey""",
+round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, round_even(CASE WHEN l_orderkey % 11 <> 0 THEN avg(s) / (l_orderkey % 11) * 1e9 ELSE 0 END, 0) AS perTriangNs, max(greatest(grown, 0)) AS peakMemory, round(CASE WHEN l_orderkey % 7 <> 0 THEN max(greatest(grown, 0)) / (l_orderkey % 7) ELSE 0 END, 4) AS memoryPerVertex FROM r GROUP BY l_orderkey""",
     "results_csv_round_trip": """WITH r AS (SELECT l_orderkey, CAST(floor(l_extendedprice * 1000) AS BIGINT) * 840 / 1e9 AS s, CAST(trunc(l_discount * 100000) AS BIGINT) - CAST(trunc(l_quantity * 100) AS BIGINT) AS grown FROM lineitem)
 SELECT 'order-' || l_orderkey AS filename, CAST(l_orderkey % 7 AS INTEGER) AS vertices, l_orderkey % 11 AS triangulations, round(avg(s), 9) AS meanTime, round(median(s), 9) AS medianTime, round(min(s), 9) AS minTime, round(max(s), 9) AS maxTime,
 round(coalesce(stddev_samp(s), 0), 9) AS stddevTime, max(greatest(grown, 0)) AS peakMemory FROM r GROUP BY l_orderkey""",
