@@ -1,19 +1,19 @@
 """Jaccard self-join of documents on word 5-grams, exact at 0.75, by size-banded tiles and hashed bitmap signatures.
 
-1. ``signatures``: one pass gives each document its set's size, fingerprint, four least hashes and a bitmap of at least four bits a
-   shingle; equal sets become one class. The same pass names heavy shingles, those that many documents of a batch share.
+1. ``signatures``: one pass gives each document its set's size, fingerprint, four least hashes and a folded bitmap; equal sets become one class. The same pass names heavy shingles, those that many documents of a batch share.
 2. ``_proposed``: a class proposes the leader with whom it shares most least hashes, two at least. Verified
    proposals join the bulk of a group of near copies at a cost of one pair a class.
 3. ``runs``: a class is filed under the prefix of its set, which any partner must share. The order behind the prefix puts
    heavy shingles last, so passages that many documents share are looked up only where nothing rarer is left. Entries travel
    packed, with their size to a byte. The classes filed under one shingle and of fitting sizes make a run, and runs with the same least class are put together, so the many
    overlapping runs of a group of near copies count about once. Shingles with very many entries are filed in several parts.
-4. ``_tiled``: only runs that hold several components are looked at. A tile has at most TILE classes of a run; of a larger run
+4. ``_tiled``: only runs that hold several components are looked at. A tile has about TILE classes of a run; of a larger run
    every tile holds a part of all classes and a part of those outside its largest component. Classes stand ordered by
    size, so each is compared with its size band alone; two classes are a candidate if their bitmaps' differing bits leave room for the
-   overlap that 0.75 needs. Bitmaps folded to a quarter sort out most rows first. One round verifies the likest pair of each class and other component, the next all pairs between
-   components that the first left unnamed.
-5. Candidates are verified by intersecting the full sets. Only the texts concerned are shuffled to their pairs.
+   overlap that 0.75 needs. Bitmaps folded to a quarter sort out most rows first.
+5. Only the classes that are left bring their full sets to their tiles, where candidates are verified by intersecting them. A candidate is
+   never a row: a group of many classes that are alike but not linked takes time for its pairs, but a tile returns links alone, and
+   no more than join its components.
 6. Links give components. No pair, link or component is ever gathered on the driver.
 
 ``join`` gives classes and components and needs no pair inside a component; ``links`` gives every linked pair of classes.
@@ -44,6 +44,8 @@ SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 512
 TILE = 1024
+#: A class of more shingles than this counts as several in a tile, so that a tile's sets stay within some 32 MB.
+TILE_SHINGLES = 2048
 #: A shingle counts as heavy if pieces of a batch in which LOCAL documents have it sum to HEAVY; the heaviest HEAVY_MOST are kept.
 LOCAL, HEAVY, HEAVY_MOST = 4, 48, 1 << 18
 #: Prefix entries of one packed part, and of one shingle in it.
@@ -173,7 +175,7 @@ def _folded(bits: bytes) -> bytes:
 
 
 def signatures(docs: DataFrame, key: str, text: str, salt: int) -> DataFrame:
-    """Rows of documents (id, n, k, k2, bits, small, h0 to h3) and, in between, heavy shingles of a batch (token, found)."""
+    """Rows of documents (id, n, k, k2, small, h0 to h3) and, in between, heavy shingles of a batch (token, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -193,11 +195,11 @@ def signatures(docs: DataFrame, key: str, text: str, salt: int) -> DataFrame:
             numbers = [pa.array([*x, *[None] * h], pa.int64()) for x in longs]
             heavy = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x, pa.int64())]) for x in (tokens[often].view(np.int64), found[often])]
             ids = pa.concat_arrays([batch.column(0), pa.nulls(h, batch.column(0).type)])
-            maps = [pa.array([*x, *[None] * h], pa.binary()) for x in (bits, map(_folded, bits))]
-            yield pa.RecordBatch.from_arrays([ids, *numbers, *maps, *heavy], names=["id", "n", "k", "k2", *_LEAST, "bits", "small", "token", "found"])
+            small = pa.array([*map(_folded, bits), *[None] * h], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, *numbers, small, *heavy], names=["id", "n", "k", "k2", *_LEAST, "small", "token", "found"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, n long, k long, k2 long, h0 long, h1 long, h2 long, h3 long, bits binary, small binary, token long, found long")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, n long, k long, k2 long, h0 long, h1 long, h2 long, h3 long, small binary, token long, found long")
 
 
 def _heavy(sig: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -321,16 +323,37 @@ class _Maps:
         return out
 
 
-#: A pair of classes, or (b null) a run that has more pairs than were given. In mode "near" a run and a class of it that has a candidate.
+#: A linked pair of classes. In mode "near" a run and a class of it that has a candidate.
 _PAIR = "a long, b long"
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(low[new], pa.int64()), pa.array(more, pa.int64())]), pa.concat_arrays([pa.array(high[new], pa.int64()), pa.nulls(len(more), pa.int64())])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(low[new], pa.int64()), pa.array(high[new], pa.int64())], names=["a", "b"])
+
+
+class _Sets:
+    """The sets of many classes, their shingles numbered, for the exact intersections of one with others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.own = np.split(at.astype(np.int32), np.cumsum(self.n)[:-1])
+        self.mark = np.zeros(len(tokens), bool)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose similarity to i reaches PERCENT."""
+        self.mark[self.own[i]] = True
+        out = []
+        for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(self.n[others]) // (8 * PAIR_WORDS))) + 1):
+            n = self.n[part]
+            common = np.add.reduceat(self.mark[np.concatenate([self.own[j] for j in part])], np.cumsum(n) - n, dtype=np.int64)
+            out.append(part[(100 + PERCENT) * common >= PERCENT * (self.n[i] + n)])
+        self.mark[self.own[i]] = False
+        return np.concatenate(out)
 
 
 def _proposed(reps: DataFrame) -> DataFrame:
@@ -344,76 +367,87 @@ def _proposed(reps: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(mode: str):
-    """Candidates of whole tiles (tile, run, role, k, n, label, bits), which stand one after another, ordered by size."""
+    """Links of whole tiles (tile, run, role, k, n, label, held), which stand one after another, ordered by size."""
 
     def pairs(tile, run, role, k, n, label, held) -> pa.RecordBatch:
-        maps = _Maps(held)
+        sets = None if mode == "near" else [np.frombuffer(x, np.uint64) for x in held]
+        maps = _Maps(held if sets is None else [_bitmap(x) for x in sets])
+        exact = sets and _Sets(sets)
         # Rows of one tile within the size band of each row, behind it.
         at = np.cumsum(np.concatenate([[0], tile[1:] != tile[:-1]]))
         step = int(n.max()) * 2 + 1
         end = np.searchsorted(at * step + n, at * step + np.minimum(n * 100 // PERCENT, step - 1), "right")
         count = np.maximum(end - np.arange(len(k)) - 1, 0)
-        size = np.unique(np.stack([at, label]), axis=1, return_inverse=True, return_counts=True)
-        in_tile = size[2][size[1].ravel()]
-        found: list[tuple] = []
+        group = np.unique(label, return_inverse=True)[1]
+        found: list[tuple] = [(np.zeros(0, np.int64),) * 2]
         before = np.concatenate([[0], np.cumsum(count)])
         a = 0
         while a < len(k):
             b = max(a + 1, int(np.searchsorted(before, before[a] + PAIR_WORDS // 2, "right")) - 1)
             i = np.repeat(np.arange(a, b), count[a:b])
             j = np.arange(len(i)) - np.repeat(before[a:b] - before[a], count[a:b]) + i + 1
-            ok = (label[i] != label[j]) & (((role[i] & 1) & (role[j] >> 1)) | ((role[i] >> 1) & (role[j] & 1)) == 1)
+            ok = (group[i] != group[j]) & (((role[i] & 1) & (role[j] >> 1)) | ((role[i] >> 1) & (role[j] & 1)) == 1)
             i, j = i[ok], j[ok]
-            like = maps.likeness(i, j, n[i], n[j])
-            hit = like > 0
-            found.append((i[hit], j[hit], like[hit]))
+            hit = maps.likeness(i, j, n[i], n[j]) > 0
+            i, j = i[hit], j[hit]
+            if mode == "near":
+                found.append((i, j))
+            else:
+                ones, first = np.unique(i, return_index=True)
+                for one, others in zip(ones, np.split(j, first[1:]), strict=True) if len(ones) else ():
+                    if mode == "forest":  # what is joined meanwhile needs no further link
+                        others = others[group[others] != group[one]]
+                    if len(others) and len(others := exact.linked(one, others)):
+                        if mode == "forest":
+                            joined, least = np.unique(group[others], return_index=True)
+                            others = others[least]
+                            group[np.isin(group, joined)] = group[one]
+                        found.append((np.full(len(others), one), others))
             a = b
-        i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         if mode == "near":
             at_rows = np.unique(np.concatenate([i, j]))
             return pa.RecordBatch.from_arrays([pa.array(run[at_rows], pa.int64()), pa.array(k[at_rows], pa.int64())], names=["a", "b"])
-        more = np.zeros(0, np.int64)
-        if mode == "best" and len(i):
-            # The likest pair of each class and other component, asked by the side with fewer classes in the tile.
-            swap = (in_tile[i] > in_tile[j]) | ((in_tile[i] == in_tile[j]) & (label[i] > label[j]))
-            one, two = np.where(swap, j, i), np.where(swap, i, j)
-            order = np.lexsort((-like, label[two], one))
-            one, two, like = one[order], two[order], like[order]
-            new = np.concatenate([[True], (one[1:] != one[:-1]) | (label[two][1:] != label[two][:-1])])
-            given, all_ = np.bincount(at[one[new]], minlength=int(at[-1]) + 1), np.bincount(at[i], minlength=int(at[-1]) + 1)
-            more = np.unique(run[given[at] < all_[at]])
-            i, j = one[new], two[new]
-        return _pair_batch(k[i], k[j], more)
+        return _pair_batch(k[i], k[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
 
-        def ready(table: pa.Table) -> pa.RecordBatch:
+        def ready(table: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = [table.column(x).to_numpy() for x in ("tile", "run", "role", "k", "n", "label")]
-            return pairs(*columns, table.column("bits").to_pylist())
+            starts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+            piece = np.cumsum(columns[4])[starts] // (TILE * TILE_SHINGLES)
+            cuts = [0, *starts[1:][piece[1:] != piece[:-1]].tolist(), table.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pairs(*(x[a:b] for x in columns), table.column("held").slice(a, b - a).to_pylist())
 
         for batch in batches:
             rest.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * TILE:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= 4 * TILE or size >= 8 * TILE * TILE_SHINGLES:
                 table = pa.Table.from_batches(rest)
                 tile = table.column("tile").to_numpy()
                 last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if tile[0] != tile[-1] else 0
                 if last:
-                    yield ready(table.slice(0, last))
-                rest, rows = table.slice(last).to_batches(), len(tile) - last
+                    yield from ready(table.slice(0, last))
+                rest = table.slice(last).to_batches()
+                rows, size = len(tile) - last, sum(x.nbytes for x in rest)
         if rows:
-            yield ready(pa.Table.from_batches(rest))
+            yield from ready(pa.Table.from_batches(rest))
 
     return run
 
 
 def _tiled(members: DataFrame, labels: DataFrame | None, tile: DataFrame, mode: str) -> DataFrame:
-    """Candidates (a, b) between components, from runs that hold several: the likest of each class ("best"; runs with more than
-    were given come as (run, null)) or all ("every"). Or only the rows of runs that have any ("near")."""
+    """Links (a, b) between components, from runs that hold several: all ("every") or those that join them ("forest"), both from
+    ``tile`` (k, n, held) with full sets. Or, from bitmaps, the rows of runs that have any candidate ("near")."""
     own = members.withColumn("label", F.col("k")) if labels is None else members.join(labels, F.col("k") == F.col("node"), "left").withColumn("label", F.coalesce("label", "k")).drop("node")
-    held = own.groupBy("run", "label").agg(F.count(F.lit(1)).alias("c"))
+    if mode == "near":
+        own = own.withColumn("w", F.lit(1))
+    else:
+        own = own.join(tile.select("k", F.ceil(F.col("n") / TILE_SHINGLES).alias("w")), "k")
+    held = own.groupBy("run", "label").agg(F.sum("w").alias("c"))
     held = held.groupBy("run").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("most")).where(F.col("most.c") < F.col("all"))
     mixed = own.join(held.select("run", "all", F.col("most.label").alias("main"), (F.col("all") - F.col("most.c")).alias("few")), "run")
     parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
@@ -423,10 +457,42 @@ def _tiled(members: DataFrame, labels: DataFrame | None, tile: DataFrame, mode:
     large = mixed.where(F.col("all") > TILE)
     of_all = large.select("run", place("all").alias("i"), upto("few").alias("j"), F.lit(1).alias("role"), "k", "label")
     of_few = large.where(F.col("label") != F.col("main")).select("run", upto("all").alias("i"), place("few").alias("j"), F.lit(2).alias("role"), "k", "label")
-    rows = small.unionByName(of_all).unionByName(of_few).join(tile, "k").select(F.xxhash64("run", "i", "j").alias("tile"), "run", "role", "k", "n", "label", "bits")
+    rows = small.unionByName(of_all).unionByName(of_few).join(tile, "k").select(F.xxhash64("run", "i", "j").alias("tile"), "run", "role", "k", "n", "label", "held")
     return rows.repartition("tile").sortWithinPartitions("tile", "n", "k").mapInArrow(_tile_pairs(mode), _PAIR).distinct()
 
 
+def _texts_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, most: int) -> DataFrame:
+    """Rows (id, t) of the ids wanted, of which there are ``most`` at most; beyond BROADCAST_IDS some others come along."""
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    kind = docs.schema[key].dataType.simpleString()
+    if most <= BROADCAST_IDS:
+        return texts.join(F.broadcast(wanted), "id", "left_semi")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place("id").alias("p")), "p", ID_BITS))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["p"])
+
+    return texts.select("id", "t", place("id").alias("p")).mapInArrow(chosen, f"id {kind}, t string")
+
+
+def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame, reps: DataFrame, salt: int) -> DataFrame:
+    """The full sets of the classes (column k), one row each: k, n, held (sorted hashes of eight bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", most=2 << 20):
+            sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()))
+            k = pa.array([_fingerprint(s, salt)[0] for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([k, pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "n", "held"])
+
+    wanted = cut(reps.join(classes.select("k").distinct(), "k", "left_semi").select("k", "id"))
+    texts = _texts_of(docs, key, text, wanted.select("id").distinct(), wanted.count())
+    # A repeated doc_id brings its other texts too, and a text may come twice.
+    return cut(texts.mapInArrow(run, "k long, n long, held binary").join(wanted.select("k"), "k", "left_semi").dropDuplicates(["k"]))
+
+
 def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFrame, salt: int) -> DataFrame:
     """The pairs (a, b) whose sets reach PERCENT, by exact intersection of the sorted sets of both texts.
 
@@ -435,20 +501,7 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: Data
     named = pairs.join(reps.select(F.col("k").alias("a"), F.col("id").alias("ia")), "a").join(reps.select(F.col("k").alias("b"), F.col("id").alias("ib")), "b")
     named = cut(named.select("a", "b", "ia", "ib"))
     wanted = named.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    kind = docs.schema[key].dataType.simpleString()
-    if named.count() * 2 <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
-    else:
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
-        shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place("id").alias("p")), "p", ID_BITS))
-
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(2).to_numpy()
-                yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["p"])
-
-        texts = texts.select("id", "t", place("id").alias("p")).mapInArrow(chosen, f"id {kind}, t string")
+    texts = _texts_of(docs, key, text, wanted, named.count() * 2)
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ta", "tb"):
@@ -472,7 +525,7 @@ def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
         sig = cut(signatures(docs, key, text, salt))
         of_docs = sig.where("k is not null")
         nodes = of_docs.where("id is not null and n > 0")
-        first = [F.first(c).alias(c) for c in ("n", "bits", "small", *_LEAST)]
+        first = [F.first(c).alias(c) for c in ("n", "small", *_LEAST)]
         reps = cut(nodes.groupBy("k").agg(F.min("id").alias("id"), *first, (F.min("k2") != F.max("k2")).alias("clash")))
         if not reps.where("clash").limit(1).count():
             break
@@ -484,32 +537,29 @@ def _members(docs: DataFrame, key: str, text: str, reps: DataFrame, heavy, salt:
     return cut(runs(docs, key, text, heavy, max(16, -(-int(entries) // PART_ENTRIES)), salt))
 
 
+def _near(members: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
+    """The rows of runs (run, k) that have a candidate outside their component by the folded bitmaps."""
+    near = _tiled(members, labels, reps.select("k", "n", F.col("small").alias("held")), "near")
+    return near.select(F.col("a").alias("run"), F.col("b").alias("k"))
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The whole join: linked pairs (a, b) of different classes, and the class_id of every document (doc_id, n_shingles, class_id)."""
     of_docs, reps, salt, heavy = _prepared(docs, key, text)
-    pairs = cut(_tiled(_members(docs, key, text, reps, heavy, salt), None, reps.select("k", "n", "bits"), "every"))
-    return _verified(docs, key, text, pairs, reps, salt), of_docs.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("k").alias("class_id"))
+    near = cut(_near(_members(docs, key, text, reps, heavy, salt), None, reps))
+    return _tiled(near, None, _sets_of(docs, key, text, near, reps, salt), "every"), of_docs.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("k").alias("class_id"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (fingerprint of its set) and component_id."""
     of_docs, reps, salt, heavy = _prepared(docs, key, text)
     members = _members(docs, key, text, reps, heavy, salt)
-    tried = cut(_proposed(reps))
-    found = cut(_verified(docs, key, text, tried, reps, salt))
+    found = cut(_verified(docs, key, text, cut(_proposed(reps)), reps, salt))
     labels = components(found)
-    near = _tiled(members, labels, reps.select("k", "n", F.col("small").alias("bits")), "near")
-    members, tile = cut(near.select(F.col("a").alias("run"), F.col("b").alias("k"))), reps.select("k", "n", "bits")
-    for mode in ("best", "every"):
-        candidates = cut(_tiled(members, labels, tile, mode))
-        named, open_ = candidates.where("b is not null"), candidates.where("b is null").select(F.col("a").alias("run"))
-        pairs = cut(named.join(tried, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            found = found.unionByName(cut(_verified(docs, key, text, pairs, reps, salt)))
-            labels = components(found)
-        if mode == "every" or not open_.limit(1).count():
-            break
-        members, tried = members.join(open_, "run", "left_semi"), tried.unionByName(pairs)
+    near = cut(_near(members, labels, reps))
+    if near.limit(1).count():
+        found = found.unionByName(cut(_tiled(near, labels, _sets_of(docs, key, text, near, reps, salt), "forest")))
+        labels = components(found)
 
     placed = labels.join(reps.select(F.col("k").alias("node"), "id"), "node")
     least = placed.groupBy("label").agg(F.min("id").alias("component"))

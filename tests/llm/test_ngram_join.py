@@ -73,6 +73,36 @@ def test_components_match_all_pairs(spark, monkeypatch, settings):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_alike_but_unlinked_classes_make_no_row_a_pair(spark, monkeypatch):
+    """Pairs just below 0.75 pass the bitmap bound: they may be compared, but what is made may not follow their number."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(1204)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for at in r.sample(range(10, 1190, 6), 20):
+            words[at] = f"y{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1] + " one more") for i in range(3)]
+    made, tiled, verified = [], ngram_join._tiled, ngram_join._verified
+
+    def counted(f, at):
+        def run(*args):
+            out = components.cut(f(*args))
+            made.append(out.count() if at is None else args[at].count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_verified", counted(verified, 3))
+    monkeypatch.setattr(ngram_join, "_tiled", counted(tiled, None))
+    got = ngram_join.join(spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    want = sorted(brute(rows))
+    assert sorted(map(tuple, got)) == want
+    assert 20 < len({c for _, _, c in want}) < 70
+    assert made and max(made) <= 6 * len(rows)
+
+
 def test_links_are_all_pairs_of_different_sets(spark):
     rows = corpus(3, 40)
     frame = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)
